@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import groups, nearest, quantiles
+from tallyloom.llm import groups, leaks, nearest, quantiles
 from tallyloom.session import table
 
 TOLERANCE_US = 1_500
@@ -46,8 +46,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.labelled(links.unionByName(told), ["source", "seq"], "a", "b")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items").select("item_id", F.concat_ws(" ", "passage", "question").alias("text"))
+    return leaks.Index(table(spark, d, "documents")).search(items)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found)}
+    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found, p9_found)}
 
 
 _NEAREST = """
