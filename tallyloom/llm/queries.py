@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import groups, leaks, nearest, quantiles
+from tallyloom.llm import abuse, groups, leaks, nearest, packing, quantiles
 from tallyloom.session import table
 
 TOLERANCE_US = 1_500
@@ -46,13 +46,51 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.labelled(links.unionByName(told), ["source", "seq"], "a", "b")
 
 
+def _packing(spark: SparkSession, d: str) -> packing.Packing:
+    return packing.Packing(packing.token_counts(table(spark, d, "documents")), table(spark, d, "pack_sizes"))
+
+
+def p8_packs(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).packs()
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).fill()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").select("item_id", F.concat_ws(" ", "passage", "question").alias("text"))
     return leaks.Index(table(spark, d, "documents")).search(items)
 
 
+MOST_SAMPLES = 3_000
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "moderation_samples").filter("sample_text is not null and category is not null")
+    samples = samples.select("sample_text", "category").orderBy(F.crc32(F.col("sample_text").cast("binary")), "sample_text", "category").limit(MOST_SAMPLES)
+    terms = table(spark, d, "abuse_terms").filter("term is not null and category is not null").select("term", "category").orderBy("term", "category").limit(MOST_SAMPLES)
+    chain = abuse.fit([tuple(r) for r in samples.collect()], [tuple(r) for r in terms.collect()], MOST_SAMPLES)
+    return abuse.score(table(spark, d, "documents"), chain)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter(F.col("any") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, those at or over the threshold and their share, by source."""
+    flagged = table(spark, d, "documents").select("doc_id", "source").join(_scored(spark, d), "doc_id")
+    rates = flagged.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("any") >= abuse.THRESHOLD).alias("flagged"), *[F.avg(s).alias(f"mean_{s}") for s in abuse.STAGES])
+    return rates.withColumn("rate", F.col("flagged") / F.col("documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found, p9_found)}
+    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found, p8_packs, p8_fill, p9_found, p10_found, p10_scores, p10_rates)}
 
 
 _NEAREST = """
