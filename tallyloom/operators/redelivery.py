@@ -216,20 +216,38 @@ def screen(df: DataFrame, keys: list[str], time: str, bucket_seconds: int = 3600
     return Screen(layout, filters, keys, time, max_filter_bytes)
 
 
+def _named(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _narrow(df: DataFrame, keys: list[str], time: str, *more) -> tuple[DataFrame, list[str]]:
+    """The identity as k0, k1, ... and the time as t, so that no other column's name can clash."""
+    own = [f"k{i}" for i in range(len(keys))]
+    return df.select(*[_named(k).alias(n) for k, n in zip(keys, own)], _named(time).alias("t"), *more), own
+
+
 def repeats(df: DataFrame, keys: list[str], time: str, **options) -> DataFrame:
     """Each identity with more than one row, and its number of copies."""
-    maybe = screen(df, keys, time, **options).tagged(df.select(*keys, time)).filter("_maybe")
-    return maybe.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
+    narrow, own = _narrow(df, keys, time)
+    maybe = screen(narrow, own, "t", **options).tagged(narrow).filter("_maybe")
+    found = maybe.groupBy(*own).agg(F.count("*").alias("copies")).filter("copies > 1")
+    return found.select(*[F.col(n).alias(k) for n, k in zip(own, keys)], "copies")
 
 
 def exactly_one(df: DataFrame, keys: list[str], time: str, then: list[str] = (), **options) -> DataFrame:
     """One row of each identity, with all columns; see the module for which."""
-    tagged = screen(df, keys, time, **options).tagged(df).drop("_bucket", "_h")
     ties = [time, *then, *[c for c in df.columns if c not in (time, *then, *keys)]]
-    order = [x for c in ties for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c))]
-    first = tagged.filter("_maybe").groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    first = first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
-    return tagged.filter("not _maybe").select(*df.columns).unionByName(first)
+    order = F.struct(*[x for i, c in enumerate(ties) for x in (_named(c).isNull().alias(f"n{i}"), _comparable(df, c).alias(f"c{i}"))])
+    rows, own = _narrow(df, keys, time, F.struct(*[_named(c).alias(f"v{i}") for i, c in enumerate(df.columns)]).alias("row"), order.alias("order"))
+    tagged = screen(rows, own, "t", **options).tagged(rows)
+    first = tagged.filter("_maybe").groupBy(*own).agg(F.min_by("row", "order").alias("row"))
+    both = tagged.filter("not _maybe").select("row").unionByName(first.select("row"))
+    return both.select(*[F.col(f"row.v{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def _comparable(df: DataFrame, name: str):
+    """Maps have no order; their JSON text stands for them."""
+    return F.to_json(_named(name)) if "map<" in df.schema[name].dataType.simpleString() else _named(name)
 
 
 class DeliveryStore:
