@@ -34,6 +34,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int,
     """``left`` and ``right`` have entity, time and ``keys``; returns l_<key>, r_<key> and distance for the left rows that have a partner."""
     width = max(slice_us or 0, 64 * tolerance, 1)
     at = lambda shift: F.floor((F.col("time") + F.lit(shift)) / F.lit(width))
+    left, right = (s.select("entity", F.col("time").cast("long").alias("time"), *keys) for s in (left, right))
     right = right.filter("entity is not null and time is not null").groupBy("entity", "time").agg(F.min(F.struct(*keys)).alias("r"))
     right = right.withColumn("slice", F.explode(F.array_distinct(F.array(at(-tolerance), at(0), at(tolerance)))))
     left = left.filter("entity is not null and time is not null").withColumn("slice", at(0))

@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, partitions
+from tallyloom.operators.ranking import ranked
+from tallyloom.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -152,25 +153,18 @@ def _solve(rounds: int):
     return run
 
 
-def pieces(counts: DataFrame, capacities: DataFrame) -> DataFrame:
+def pieces(counts: DataFrame, capacities: DataFrame, most_capacities: int = 1_000) -> DataFrame:
     """Every text for every capacity; those longer than it in pieces: pack_id, capacity_tokens, doc_id, piece, length."""
-    each = counts.filter("doc_id is not null").crossJoin(F.broadcast(capacities.filter("pack_id is not null and capacity_tokens > 0").select("pack_id", "capacity_tokens").dropDuplicates(["pack_id"])))
+    declared = sorted({(r["pack_id"], r["capacity_tokens"]) for r in capacities.filter("pack_id is not null and capacity_tokens > 0").select("pack_id", "capacity_tokens").limit(most_capacities + 1).collect()})
+    if len(declared) > most_capacities or len({p for p, _ in declared}) < len(declared):
+        raise ValueError(f"pack ids must have one capacity each, and be {most_capacities} at most")
+    packs = F.array(*[F.struct(F.lit(p).cast("long").alias("pack_id"), F.lit(c).cast("long").alias("capacity_tokens")) for p, c in declared]) if declared else F.array().cast("array<struct<pack_id:long,capacity_tokens:long>>")
+    each = counts.filter("doc_id is not null").select("doc_id", "tokens", F.explode(packs).alias("p")).select("p.*", "doc_id", "tokens")
     full = F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / F.col("capacity_tokens")).cast("int")
     cut_ = each.withColumn("piece", F.explode(F.sequence(F.lit(0), full)))
     return cut_.select("pack_id", "capacity_tokens", "doc_id", "piece", F.least(F.col("capacity_tokens"), F.col("tokens") - F.col("piece").cast("long") * F.col("capacity_tokens")).alias("length"))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """The rows with their rank from 0 in each group, by a distributed sort; groups of any size, few of them."""
-    keys = [*group, *order]
-    sorted_ = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    sorted_ = cut(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    held = sorted_.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return sorted_.join(held, [*group, "_part"]).withColumn("rank", F.col("_at") - F.col("_low") + F.col("_before")).drop("_part", "_at", "_low", "_before")
-
-
 class Packing:
     def __init__(self, counts: DataFrame, capacities: DataFrame, rounds: int = 250) -> None:
         self.pieces = cut(pieces(counts, capacities))
