@@ -11,8 +11,7 @@ from the matching buckets alone, are shuffled and compared exactly.
 Partial filters are made where the rows are read and merged as lists of bit
 positions, so an identity with any number of copies costs each task one entry.
 Finished filters are broadcast while they stay under ``max_filter_bytes``;
-beyond that rows and filters meet by block group in a shuffle in which crowded
-groups are salted.
+beyond that distinct hashes and filters meet by groups of blocks in a shuffle.
 
 Defined results: a row whose identity has a null part can't be recognised
 again; it is never a repeat and is always kept. Null capture times have a
@@ -173,30 +172,25 @@ class Screen:
 
         return rows.withColumn("_maybe", maybe("_bucket", "_h"))
 
-    def _by_block_group(self, rows: DataFrame, most: int = 500_000) -> DataFrame:
-        """Rows and the filter blocks that they may need meet in groups of hash values, crowded ones split by salt."""
+    def _by_block_group(self, rows: DataFrame) -> DataFrame:
+        """Distinct hashes meet the filter blocks that they may need in groups of hash values; rows learn of the few that may repeat."""
         layout = self.layout
-        groups = max(1, math.ceil(layout.bytes / (8 << 20)))
-        whole = [i for i in range(len(layout.buckets))]
-        needs = F.array(*[(F.lit(layout.first[i]) + F.pmod(F.shiftrightunsigned("_h", 40), F.lit(layout.blocks[i]))).cast("long") for i in whole])
-        group = F.pmod(F.shiftrightunsigned("_h", 40), F.lit(groups))
-        keyed = rows.withColumn("_group", group)
-        heavy = keyed.groupBy("_group").count().withColumn("_salts", F.ceil(F.col("count") / F.lit(most)).cast("int")).drop("count")
-        wanted = keyed.select("_group", F.explode(needs).alias("block")).distinct().join(self.filters, "block").join(heavy, "_group")
-        wanted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select("_group", "_salt", "block", "once", "twice")
-        salted = keyed.join(heavy, "_group").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int")).drop("_salts")
-        names = [c for c in rows.columns]
+        groups = max(1, math.ceil(layout.bytes / (2 << 20)))
+        upper = F.shiftrightunsigned("_h", 40)
+        asked = rows.select("_h", "_bucket").distinct().withColumn("_group", F.pmod(upper, F.lit(groups)))
+        needs = F.array(*[(F.lit(layout.first[i]) + F.pmod(upper, F.lit(layout.blocks[i]))).cast("long") for i in range(len(layout.buckets))])
+        wanted = asked.select("_group", F.explode(needs).alias("block")).distinct().join(self.filters, "block").select(F.col("_group").alias("g"), "block", "once", "twice")
 
         def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             order = np.argsort(right["block"].to_numpy())
             at = right["block"].to_numpy()[order]
             once, twice = (np.stack([np.frombuffer(x, np.uint8) for x in right[c].iloc[order]]) if len(right) else np.zeros((1, BLOCK_BITS // 8), np.uint8) for c in ("once", "twice"))
-            out = left[names].copy()
-            out["_maybe"] = _suspects(layout, lambda x: np.searchsorted(at, x), once, twice, left["_bucket"].to_numpy(np.int64), left["_h"].to_numpy(np.int64))
-            return out
+            out = _suspects(layout, lambda x: np.searchsorted(at, x), once, twice, left["_bucket"].to_numpy(np.int64), left["_h"].to_numpy(np.int64))
+            return left.loc[out, ["_h", "_bucket"]].rename(columns={"_h": "_h2", "_bucket": "_b2"})
 
-        schema = rows.withColumn("_maybe", F.lit(True)).schema
-        return salted.groupBy("_group", "_salt").cogroup(wanted.groupBy("_group", "_salt")).applyInPandas(test, schema)
+        found = asked.groupBy("_group").cogroup(wanted.groupBy("g")).applyInPandas(test, "_h2 long, _b2 int")
+        joined = rows.join(found, (F.col("_h") == F.col("_h2")) & (F.col("_bucket") == F.col("_b2")), "left")
+        return joined.withColumn("_maybe", F.col("_h2").isNotNull()).drop("_h2", "_b2")
 
 
 def screen(df: DataFrame, keys: list[str], time: str, bucket_seconds: int = 3600, bits_per_id: int = 16, max_filter_bytes: int = 64 << 20) -> Screen:
