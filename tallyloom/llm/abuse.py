@@ -40,10 +40,11 @@ LONG = 600  # letters of a sentence that are looked at at once
 TERM_WEIGHT = 1.0
 UNKNOWN_KIND_WEIGHT = 3.0  # these are mostly of the languages that have few samples
 
-_LEET = str.maketrans("@4310$57!", "aaeiossti")
+_LEET = str.maketrans("@4310$57", "aaeiosst")
 _TOKEN = re.compile(r"\S+")
-_APART = re.compile(r"(?<![a-z])(?:[a-z0-9@$][ \-_.*·]{1,2}){3,}[a-z0-9@$](?![a-z])")
+_APART = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$][ \-_.*·]{1,2}){3,}[a-z0-9@$](?![a-z0-9])")
 _DRAWN = re.compile(r"([a-z])\1{2,}")
+_MASK = re.compile(r"(?<=[a-z0-9])[_*](?=[a-z0-9])")
 _NUMBER = re.compile(r"[\d.,:%]+$")
 _OTHER = re.compile(r"[^a-z0# ]+")
 _END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n\s*\n|\n(?=\s*[-*•] )")
@@ -66,7 +67,7 @@ def _letters(m: re.Match) -> str:
 def normal(sentence: str) -> str:
     """A plain sentence as lower-case words, with disguises of letters undone."""
     s = _APART.sub(_closed, sentence.casefold())
-    s = _TOKEN.sub(_letters, s)
+    s = _TOKEN.sub(_letters, _MASK.sub("#", s))
     return " ".join(_OTHER.sub(" ", _DRAWN.sub(r"\1", s)).split())
 
 

@@ -8,7 +8,7 @@ of a stretch one must be there, so the two rarest of it in the shard are its
 anchors: their postings, less the words' offsets in the item, give the places
 at which the item could begin. At each such place the offset-adjusted postings
 of the item's words are intersected, exactly and, for phrases with a word left
-out, put in or split, with the same lists one or two places on.
+out or split and with words put in, with the same lists up to two places on.
 
 Only postings of words that occur in the items are read for a search; they meet
 by shard. The items are broadcast, which ``search`` refuses beyond a stated size.
@@ -32,7 +32,7 @@ from tallyloom.session import written
 
 SHARD_WORDS = 400_000
 MOST_ITEM_WORDS = 5_000_000
-_SHIFTS = (-2, -1, 1, 2)
+_PLAY = 2  # how far words of a stretch may stand from where they would without a change
 
 
 def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,26 +146,26 @@ def _starts(item: np.ndarray, seen: np.ndarray, postings: dict[int, np.ndarray],
 
 
 def _holds(item: np.ndarray, stands: np.ndarray, start: int, low: int, high: int, length: int) -> bool:
-    """Whether a stretch of the item stands in places low to high when the item's words are laid out from ``start`` on, or from there and, from some word on, a little before or after."""
-    n = len(item)
-
-    def hits(first: int) -> np.ndarray:
-        at = first + np.arange(n)
-        inside = (at >= low) & (at < high)
-        out = np.zeros(n + 1, np.int32)
-        np.cumsum(inside & (stands[np.clip(at, 0, len(stands) - 1)] == item), out=out[1:])
-        return out
+    """Whether a stretch of the item stands in places low to high when its words are laid out from ``start`` on, or up to _PLAY places before or after.
 
-    def held(first: np.ndarray, then: np.ndarray) -> bool:
-        """Whether a stretch stands that follows ``first`` up to some word and ``then`` from there on."""
-        best = np.lib.stride_tricks.sliding_window_view(first - then, length + 1).max(axis=1)
-        return bool((best - first[:-length] + then[length:]).max() >= length - 1)
-
-    here = hits(start)
-    if (here[length:] - here[:-length]).max() >= length - 1:
+    Along a stretch the layout may move on, where the text has other words in between, and once back, where it lacks a word.
+    """
+    n = len(item)
+    at = start + np.arange(-_PLAY, _PLAY + 1)[:, None] + np.arange(n)
+    hits = ((at >= low) & (at < high) & (stands[np.clip(at, 0, len(stands) - 1)] == item)).astype(np.int8)
+    sums = np.lib.stride_tricks.sliding_window_view(hits, length, axis=1)
+    held = sums.sum(axis=2)
+    if held[_PLAY].max() >= length - 1:
         return True
-    for shift in _SHIFTS:  # one word left out: the rest stands one place earlier; one put in: later; one split in two: later as well
-        there = hits(start + shift)
-        if there[-1] + here[-1] >= length - 1 and (shift >= -1 and held(here, there) or shift <= 1 and held(there, here)):
-            return True
-    return False
+    some = np.flatnonzero(held.sum(axis=0) >= length - 1)  # the others have too few words at any layout
+    if not len(some):
+        return False
+    steps = sums[:, some, :]
+    whole = np.full((len(at), len(some)), 0, np.int8)  # words held so far by layout, none left out
+    short = np.full_like(whole, -length)  # the same with one left out
+    for k in range(length):
+        back = np.full_like(short, -length)
+        back[:-1] = whole[1:]
+        short = np.maximum.accumulate(np.maximum(short, back), axis=0) + steps[:, :, k]
+        whole = np.maximum.accumulate(whole, axis=0) + steps[:, :, k]
+    return bool(max(whole.max(), short.max()) >= length - 1)
