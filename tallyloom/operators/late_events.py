@@ -171,6 +171,21 @@ def fold(rows, clocks: dict[str, int | None], lateness: int, period: int):
     return refused, done + [(*x, None) for x in tree.close(period, float("inf"))]
 
 
+def carried_clocks(told: DataFrame, config: DataFrame) -> DataFrame:
+    """What each declared source's clock has reached before each stretch: f, p (flow and stretch), source, clock as text, and the flow's settings.
+
+    ``told``: flow_id, part, source, time. One row for each source and stretch, however many rows these hold.
+    """
+    settings = [c for c in ("lateness_us", "period_us", "window_us", "max_silence_us") if c in config.columns]
+    declared = config.select("flow_id", *settings, F.array_distinct(F.filter("sources", lambda s: s.isNotNull())).alias("sources")).dropDuplicates(["flow_id"])
+    tops = told.groupBy("flow_id", "part", "source").agg(F.max("time").alias("top"), F.min("time").alias("low"))
+    parts = tops.groupBy("flow_id", "part").agg(F.min("low").alias("low"))
+    grid = parts.join(declared, "flow_id", "left").select("flow_id", "part", "low", *settings, F.explode_outer("sources").alias("source"))
+    before = Window.partitionBy("flow_id", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(tops.drop("low"), ["flow_id", "part", "source"], "left").withColumn("clock", F.max("top").over(before).cast("string")).withColumn("first_at", F.min("low").over(before).cast("string"))
+    return carried.select(F.col("flow_id").alias("f"), F.col("part").alias("p"), *settings, "source", "clock", "first_at")
+
+
 def late_events(journal: DataFrame, config: DataFrame, stretch: int = 50_000) -> DataFrame:
     """The fold over a whole journal: rows of ``kind`` 'refused' (flow_id, pos, at_us, cutoff_us) and 'partial' (flow_id, period, rows, corrections, pos of closing)."""
     seen = F.col("kind") == "seen"
@@ -184,11 +199,7 @@ def late_events(journal: DataFrame, config: DataFrame, stretch: int = 50_000) ->
     told = j.select("flow_id", "pos", "source", "time", F.lit(False).alias("counts"))
     rows = first.unionByName(told).withColumn("part", of)
 
-    declared = config.select("flow_id", "lateness_us", "period_us", F.array_distinct(F.filter("sources", lambda s: s.isNotNull())).alias("sources")).dropDuplicates(["flow_id"])
-    tops = told.withColumn("part", of).groupBy("flow_id", "part", "source").agg(F.max("time").alias("top"))
-    grid = tops.select("flow_id", "part").distinct().join(declared, "flow_id", "left").select("flow_id", "part", "lateness_us", "period_us", F.explode_outer("sources").alias("source"))
-    before = Window.partitionBy("flow_id", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = grid.join(tops, ["flow_id", "part", "source"], "left").withColumn("clock", F.max("top").over(before).cast("string"))
+    carried = carried_clocks(told.withColumn("part", of), config)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["flow_id", "kind", "pos", "at_us", "cutoff_us", "period_us", "period", "rows", "corrections"]
@@ -205,7 +216,6 @@ def late_events(journal: DataFrame, config: DataFrame, stretch: int = 50_000) ->
         out = pd.DataFrame(out, columns=columns)
         return out.astype({c: "Int64" for c in columns[2:]})
 
-    carried = carried.select(F.col("flow_id").alias("f"), F.col("part").alias("p"), "lateness_us", "period_us", "source", "clock")
     return rows.groupBy("flow_id", "part").cogroup(carried.groupBy("f", "p")).applyInPandas(run, "flow_id string, kind string, pos long, at_us long, cutoff_us long, period_us long, period long, rows long, corrections long")
 
 
