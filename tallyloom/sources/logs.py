@@ -32,7 +32,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no from 1 and line. A file is one row first, so that its lines keep their order; many files are read at once."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
 
 
