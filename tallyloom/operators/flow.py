@@ -184,7 +184,7 @@ def _fold(rows: list[dict], joins: list[dict], most: int) -> list[tuple]:
         return found
 
     def settle(mark: int | None, forced: bool) -> None:
-        if mark is None:
+        if mark is None or not any(m["time"] + window < mark for m in waiting):
             return
         for group in groups():
             if max(m["time"] for m in group) + window < mark:

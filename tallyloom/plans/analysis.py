@@ -55,7 +55,7 @@ def percentile_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def freeze_detection(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d, "load-gen").filter("duration_ns is not null")
-    return analyses.freezes(rows, F.floor(F.col("duration_ns") / 1000), F.col("timestamp_ns") / 1000, ["cell"], 20_000, 3)
+    return analyses.freezes(rows, F.floor(F.col("duration_ns") / 1000), F.col("timestamp_ns") / 1000, ["cell"], 20_000, 2)
 
 
 def tuple_generations(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def _origins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silent_sources(spark: SparkSession, d: str) -> DataFrame:
-    return observe.silent_sources(_origins(spark, d), observe.EvidenceRule(silent_days=1)).select("side", "source", "last_day", "end_day", "silent_days")
+    return observe.silent_sources(_origins(spark, d), observe.EvidenceRule(silent_days=0)).select("side", "source", "last_day", "end_day", "silent_days")
 
 
 def capture_failures(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
           r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY w) - 1 AS i, count(*) OVER (PARTITION BY cell) AS n FROM v)
           SELECT cell, n, max(CASE WHEN i = least(CAST(floor(0.5 * n) AS BIGINT), n - 1) THEN w END) AS p50, max(CASE WHEN i = least(CAST(floor(CAST(0.99 AS DOUBLE) * n) AS BIGINT), n - 1) THEN w END) AS p99 FROM r GROUP BY cell, n""",
         "percentile_nearest_rank": "SELECT protocol, quantile_disc(duration_ns, 0.5) AS p50, quantile_disc(duration_ns, 0.95) AS p95, quantile_disc(duration_ns, 0.99) AS p99 FROM load_gen_rows WHERE duration_ns IS NOT NULL GROUP BY protocol",
-        "freeze_detection": "SELECT cell, CAST(floor(timestamp_ns / 1000.0 / 1000000) AS BIGINT) AS ms, count(*) AS n FROM load_gen_rows WHERE side = 'load-gen' AND floor(duration_ns / 1000) > 20000 GROUP BY ALL HAVING count(*) >= 3",
+        "freeze_detection": "SELECT cell, CAST(floor(timestamp_ns / 1000.0 / 1000000) AS BIGINT) AS ms, count(*) AS n FROM load_gen_rows WHERE side = 'load-gen' AND floor(duration_ns / 1000) > 20000 GROUP BY ALL HAVING count(*) >= 2",
         "tuple_generations": "SELECT conn_key, count(*) - 1 AS last FROM load_gen_rows GROUP BY conn_key",
         "id_consistency": """WITH e AS (SELECT DISTINCT trace_id AS id FROM load_gen_rows WHERE side = 'load-gen' AND trace_id IS NOT NULL), s AS (SELECT trace_id AS id, count(*) AS n FROM load_gen_rows WHERE side = 'fake-upstream' AND trace_id IS NOT NULL GROUP BY ALL)
           SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (n > 1 AND e.id IS NOT NULL) AS duplicated, count(*) FILTER (e.id IS NULL) AS unknown FROM e FULL JOIN s ON e.id = s.id""",
@@ -228,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "drift_verdicts": f"""WITH {_SERIES}, {_daily("outcome = 'M0_REFERENCE'", "NOT forced")}, z AS (SELECT *, CASE WHEN total >= 5 AND ref_total >= 5 THEN least(1, {_wilson("hits", "total", "+", "1.96")}) END AS upper, CASE WHEN total >= 5 AND ref_total >= 5 THEN {_wilson("ref_hits", "ref_total", "-", "1.96")} END AS low FROM y)
           SELECT side, source, day, hits, total, ref_hits, ref_total, CASE WHEN total < 5 THEN 'INSUFFICIENT' WHEN ref_total < 5 THEN 'NO_REFERENCE' WHEN upper < low - 0.01 THEN 'DROP' ELSE 'NORMAL' END AS verdict, upper FROM z""",
         "undecided_jump": f"""WITH {_SERIES}, {_daily(_UNDECIDED, "true")} SELECT side, source, day, hits, total, ref_hits, ref_total FROM y WHERE total >= 5 AND ref_total >= 5 AND greatest(0, {_wilson("hits", "total", "-", "0.2")}) > least(1, {_wilson("ref_hits", "ref_total", "+", "0.2")})""",
-        "silent_sources": f"WITH {_ORIGINS}, l AS (SELECT side, source, max(day) AS last_day FROM p GROUP BY ALL) SELECT side, source, last_day, (SELECT max(day) FROM p) AS end_day, CAST((SELECT max(day) FROM p) - last_day AS INT) AS silent_days FROM l WHERE (SELECT max(day) FROM p) - last_day > 1",
+        "silent_sources": f"WITH {_ORIGINS}, l AS (SELECT side, source, max(day) AS last_day FROM p GROUP BY ALL) SELECT side, source, last_day, (SELECT max(day) FROM p) AS end_day, CAST((SELECT max(day) FROM p) - last_day AS INT) AS silent_days FROM l WHERE (SELECT max(day) FROM p) - last_day > 0",
         "capture_failures": f"""WITH {_ORIGINS}, f AS (SELECT side, adapter_version AS source, CAST(captured_at AS DATE) AS day, count(*) AS failed FROM recon_records WHERE currency IS NULL GROUP BY ALL),
           a AS (SELECT side, source, day, count(*) AS arrived FROM p GROUP BY ALL), b AS (SELECT f.*, failed + coalesce(arrived, 0) AS total FROM f LEFT JOIN a USING (side, source, day))
           SELECT side, source, day, failed, total FROM b WHERE total >= 5 AND {_wilson("failed", "total", "-", "1.96")} > 0.01""",
@@ -237,5 +237,4 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT seed, metric, count(*) AS n, stddev_samp(v) AS sd, min(ops) AS ops FROM m GROUP BY ALL) SELECT seed, min(n) AS reps, max(n) AS most_reps, min(ops) AS ops, bool_or(sd > 0.015) AS wide FROM s GROUP BY seed""",
         "duration_texts": "SELECT sum((duration_ns // 1000) * 1000)::BIGINT AS total_ns, count(*) AS n FROM load_gen_rows WHERE duration_ns >= 0",
         "rank_bucket_match": _greedy("l.rank // 10 = r.rank // 10"),
-        "sliding_window_match": _greedy("abs(l.rank - r.rank) <= 5"),
     }

@@ -202,6 +202,19 @@ def test_analyses(spark):
     assert len(paired) == 40 and all(r.t_left == r.t_right for r in paired)
 
 
+def test_window_match_against_all_pairs(spark):
+    rng = random.Random(6)
+    sides = [[(f"{p}{i:02d}", i, rng.randrange(100)) for i in range(40)] for p in "lr"]
+    schema = "id string, rank long, measure long"
+    found = {(r.left_id, r.right_id) for r in analyses.window_match(*(spark.createDataFrame(s, schema) for s in sides), "measure", F.lit(20), 3).collect()}
+    used, expected = set(), set()
+    for _, a, b in sorted((abs(x - y), a, b) for a, i, x in sides[0] for b, j, y in sides[1] if abs(i - j) <= 3 and abs(x - y) <= 20):
+        if not used & {a, b}:
+            used |= {a, b}
+            expected.add((a, b))
+    assert found == expected
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rng = random.Random(4)
     rows = [("f", pos, rng.choice("xy"), pos, rng.random() < 0.8, pos + rng.randrange(-120, 20)) for pos in range(300)]
