@@ -14,14 +14,18 @@ an authored value of a closed group is told as such and links to nothing.
 Members of a closed group get their outcome from all of the group: linked,
 collided or unlinked by each signal, and what two signals say together.
 
-A super-component is one task; values held by very many observations are
-collisions by definition and don't make components beyond
-``max_collision_members``.
+A super-component is one task, also where a value is held by very many
+observations: whether these collide is a matter of who is there at the same
+time, as a connection may come back in a later group. Its fold takes n log n
+steps. Collisions of over ``max_collision_members`` name no partners.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
+from heapq import heappop, heappush
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -140,8 +144,7 @@ def replay(seen: DataFrame, marks: DataFrame, config: DataFrame, joins: DataFram
     seen = cut(seen.withColumn("node", F.concat_ws(UNIT, "flow_id", "source", F.col("seq").cast("string"))))
     shared = F.array(*[F.when(F.forall(F.array(*[F.lit(k) for k in ks]), lambda k: F.col("keys")[k].isNotNull()), F.concat_ws(UNIT, F.col("flow_id"), F.lit("+".join(ks)), *[F.col("keys")[k] for k in ks])) for ks in sorted({tuple(j["keys"]) for j in declared})])
     held = seen.select("node", F.explode(shared).alias("value")).filter("value is not null")
-    crowd = held.groupBy("value").count().filter(F.col("count") > 64 * max_collision_members).select("value")
-    edges = held.join(crowd, "value", "left_anti").select("node", F.concat(F.lit("="), "value").alias("value"))
+    edges = held.select("node", F.concat(F.lit("="), "value").alias("value"))
     groups = components(edges, "node", "value")
     rows = seen.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     end = marks.groupBy("flow_id").agg(F.max_by(F.struct("mark", "forced"), "pos").alias("end"))
@@ -150,54 +153,65 @@ def replay(seen: DataFrame, marks: DataFrame, config: DataFrame, joins: DataFram
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        for _, part in pdf.groupby("component"):
-            out += _fold(part.sort_values("pos").to_dict("records"), declared, max_collision_members)
+        pdf = pdf.sort_values(["component", "pos"])
+        records = (dict(zip(pdf.columns, r)) for r in zip(*[pdf[c] for c in pdf.columns]))
+        for _, part in groupby(records, lambda r: r["component"]):
+            out += _fold(part, declared, max_collision_members)
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(4096))).groupBy("lot").applyInPandas(run, SCHEMA)
 
 
-def _fold(rows: list[dict], joins: list[dict], most: int) -> list[tuple]:
+def _fold(rows: Iterable[dict], joins: list[dict], most: int) -> list[tuple]:
+    """Decisions of one super-component, its rows in the order of the journal."""
     import json
 
     out: list[tuple] = []
-    waiting: list[dict] = []
+    owner: dict[tuple[str, str], dict] = {}  # an open holder of each value
+    pending: list[tuple[int, int, dict]] = []  # the latest member of an open group is always in it
     closed: set[tuple[str, str]] = set()
     authored = {j["keys"][0] for j in joins if j["authored"]}
-    window = int(rows[0]["window_us"]) if isinstance(rows[0]["window_us"], str) else 0
+    window, end = 0, None
 
     def tell(m: dict, place: str, kind: str, key=None, value=None, partners=(), evidence=None, corroboration=None, status="FINAL", forced=False) -> None:
         content = digest_text(kind, key or "", value or "", *[f"{s}{UNIT}{q}" for s, q in partners], *(["corroboration", corroboration] if corroboration else []))
         own = digest_text(place, m["source"], str(m["seq"]), content, "FORCED" if forced else status)
         out.append((m["flow_id"], place, m["source"], m["seq"], kind, key, value, [{"source": s, "seq": q} for s, q in partners], evidence, corroboration, status, forced, own))
 
-    def groups() -> list[list[dict]]:
-        left, found = list(waiting), []
-        while left:
-            group, values = [left.pop(0)], set()
-            for m in group:
-                values |= m["values"]
-                met = [x for x in left if x["values"] & values]
-                left[:] = [x for x in left if not x["values"] & values]
-                group += met
-            found.append(group)
-        return found
+    def wait(m: dict) -> None:
+        m["group"] = {"members": [m], "last": m["time"]}
+        for v in m["values"]:
+            less, more = sorted((m["group"], owner.setdefault(v, m)["group"]), key=lambda g: len(g["members"]))
+            if less is not more:
+                more["last"] = max(less["last"], more["last"])
+                more["members"] += less["members"]
+                for x in less["members"]:
+                    x["group"] = more
+        heappush(pending, (m["time"], m["n"], m))
+
+    def told(group: dict, **how) -> None:
+        at = {m["identity"]: m for m in group["members"]}
+        for place, identity, *what in _settled(group["members"], joins, most):
+            tell(at[identity], place, *what, **how)
 
     def settle(mark: int | None, forced: bool) -> None:
-        if mark is None or not any(m["time"] + window < mark for m in waiting):
-            return
-        for group in groups():
-            if max(m["time"] for m in group) + window < mark:
-                for place, identity, *told in _settled(group, joins, most):
-                    tell(next(m for m in group if m["identity"] == identity), place, *told, forced=forced)
-                for m in group:
+        while mark is not None and pending and pending[0][0] + window < mark:
+            group = heappop(pending)[-1]["group"]
+            if group is not None and group["last"] + window < mark:
+                told(group, forced=forced)
+                for m in group["members"]:
                     closed.update((k, m["keys"][k]) for k in authored & set(m["keys"]))
-                    waiting.remove(m)
-
-    for r in rows:
+                    for v in m["values"]:
+                        owner.pop(v, None)
+                    m["group"] = None
+
+    for n, r in enumerate(rows):
+        if not n:
+            window = int(r["window_us"]) if isinstance(r["window_us"], str) else 0
+            end = int(r["end_mark"]) if isinstance(r["end_mark"], str) else None
         mark = int(r["mark_before"]) if isinstance(r["mark_before"], str) else None
         settle(mark, bool(r["forced"]))
-        m = r | {"keys": json.loads(r["keys"] or "{}"), "identity": (r["source"], r["seq"])}
+        m = r | {"keys": json.loads(r["keys"] or "{}"), "identity": (r["source"], r["seq"]), "n": n}
         m["values"] = {("+".join(j["keys"]), UNIT.join(m["keys"][k] for k in j["keys"])) for j in joins if all(m["keys"].get(k) is not None for k in j["keys"])}
         if mark is not None and m["time"] < mark:
             tell(m, "", "LATE")
@@ -206,9 +220,8 @@ def _fold(rows: list[dict], joins: list[dict], most: int) -> list[tuple]:
         if again:
             tell(m, "", "VALUE_AFTER_FINAL", *again[0])
             continue
-        waiting.append(m)
-    settle(int(rows[0]["end_mark"]) if isinstance(rows[0]["end_mark"], str) else None, False)
-    for group in groups():
-        for place, identity, *told in _settled(group, joins, most):
-            tell(next(m for m in group if m["identity"] == identity), place, *told, status="PROVISIONAL")
+        wait(m)
+    settle(end, False)
+    for group in {id(m["group"]): m["group"] for *_, m in pending if m["group"] is not None}.values():
+        told(group, status="PROVISIONAL")
     return out

@@ -192,6 +192,23 @@ def test_flow_finals(spark):
     assert out["x", 5][2] == "PROVISIONAL" and out["x", 70][0] == "VALUE_AFTER_FINAL" and out["x", 71][0] == "LATE"
 
 
+def test_flow_crowded_value(spark):
+    """A value of over 512 holders collides as one of few does, and a connection that comes back as often still links."""
+    rows = []
+    for f, many in (("few", 20), ("many", 600)):
+        rows += [(f, 2 * n + i, s, n, *e, k, n * 40 // many) for n in range(many) for i, (s, e, k) in enumerate((("x", ("p", "outbound"), {"traceparent": "hot", "tuple5": f"c{n}"}), ("y", ("q", "inbound"), {"tuple5": f"c{n}"})))]
+    rows += [("back", 4 * n + i, s, n, *e, {"tuple5": "c"}, 1000 * n + i) for n in range(600) for i, (s, e) in enumerate((("x", ("p", "outbound")), ("y", ("q", "inbound"))))]
+    seen = spark.createDataFrame(rows, "flow_id string, pos long, source string, seq long, point string, side string, keys map<string,string>, time long")
+    config = spark.createDataFrame([(f, ["x", "y"], 50, 30, None) for f in ("few", "many", "back")], "flow_id string, sources array<string>, window_us long, lateness_us long, max_silence_us long")
+    joins = spark.createDataFrame([("p -> q", [k], a, "p", "outbound", "q", "inbound") for k, a in (("traceparent", True), ("tuple5", False))], "place string, keys array<string>, authored boolean, up_point string, up_side string, down_point string, down_side string")
+    moved = seen.select("flow_id", "pos", "source", "time").unionByName(spark.createDataFrame([("back", 4 * n + 2 + i, s, 1000 * n + 500) for n in range(600) for i, s in enumerate("xy")], "flow_id string, pos long, source string, time long"))
+    told = {f: [] for f in ("few", "many", "back")}
+    for r in flow.replay(seen, flow.timeline(moved, config), config, joins).collect():
+        told[r.flow_id].append((r.source, r.kind, r.key, r.value if r.key == "traceparent" else None, len(r.partners), r.status))
+    assert len(told["many"]) == 1_200 and set(told["many"]) == set(told["few"]) and ("x", "COLLIDED", "traceparent", "hot", 0, "PROVISIONAL") in told["many"]
+    assert len(told["back"]) == 1_200 and {t[1] for t in told["back"]} == {"LINKED"}
+
+
 def test_analyses(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "k long, t string")
     moved = analyses.shuffled(df, "t", ["k"], 3)
