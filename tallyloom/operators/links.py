@@ -35,14 +35,24 @@ def values(observations: DataFrame, joins: DataFrame) -> DataFrame:
     return met.filter(F.forall(own, lambda v: v.isNotNull())).select("place", F.array_join("keys", "+").alias("key"), F.array_join(own, UNIT).alias("value"), "is_up", "source", "seq")
 
 
+def _kind():
+    return F.when((F.col("n_up") > 1) | (F.col("n_down") > 1), "COLLIDED").when((F.col("n_up") == 1) & (F.col("n_down") == 1), "LINKED").otherwise("UNLINKED")
+
+
+def told_apart(found: DataFrame) -> DataFrame:
+    """place, key, value, kind, up, down; the ids are those of a value with one observation a side. No ids are gathered."""
+    one = F.struct("source", "seq")
+    counted = found.groupBy("place", "key", "value").agg(F.count_if("is_up").alias("n_up"), F.count_if(~F.col("is_up")).alias("n_down"), F.max(F.when(F.col("is_up"), one)).alias("up"), F.max(F.when(~F.col("is_up"), one)).alias("down"))
+    return counted.select("place", "key", "value", _kind().alias("kind"), "up", "down")
+
+
 def outcomes(found: DataFrame, most_members: int = 1_000) -> DataFrame:
     """place, key, value, kind (LINKED, COLLIDED, UNLINKED), n_up, n_down, ups, downs; ids sorted, empty where there are too many."""
     counted = found.groupBy("place", "key", "value").agg(F.count_if("is_up").alias("n_up"), F.count_if(~F.col("is_up")).alias("n_down"))
     few = found.join(counted.filter((F.col("n_up") > most_members) | (F.col("n_down") > most_members)).select("place", "key", "value"), ["place", "key", "value"], "left_anti")
     one = F.struct("source", "seq")
     ids = few.groupBy("place", "key", "value").agg(F.sort_array(F.collect_list(F.when(F.col("is_up"), one))).alias("ups"), F.sort_array(F.collect_list(F.when(~F.col("is_up"), one))).alias("downs"))
-    kind = F.when((F.col("n_up") > 1) | (F.col("n_down") > 1), "COLLIDED").when((F.col("n_up") == 1) & (F.col("n_down") == 1), "LINKED").otherwise("UNLINKED")
-    return counted.join(ids, ["place", "key", "value"], "left").withColumn("kind", kind)
+    return counted.join(ids, ["place", "key", "value"], "left").withColumn("kind", _kind())
 
 
 def links(out: DataFrame) -> DataFrame:
@@ -61,10 +71,8 @@ def combined(first: DataFrame, second: DataFrame) -> DataFrame:
     """
     told = []
     for n, found in ((1, first), (2, second)):
-        out = outcomes(found)
-        each = out.select("place", "kind", "ups", "downs", F.explode(F.concat("ups", "downs")).alias("o"))
-        partner = F.when(F.col("kind") == "LINKED", F.when(F.col("o") == F.col("ups")[0], F.col("downs")[0]).otherwise(F.col("ups")[0]))
-        told.append(each.select("place", "o", F.col("kind").alias(f"kind{n}"), partner.alias(f"partner{n}")))
+        each = found.join(told_apart(found), ["place", "key", "value"])
+        told.append(each.select("place", F.struct("source", "seq").alias("o"), F.col("kind").alias(f"kind{n}"), F.when(F.col("kind") == "LINKED", F.when(F.col("is_up"), F.col("down")).otherwise(F.col("up"))).alias(f"partner{n}")))
     both = told[0].join(told[1], ["place", "o"], "full")
     has = both.select("place", F.col("o").alias("p"), F.col("kind1").isNotNull().alias("p1"), F.col("kind2").isNotNull().alias("p2"))
     linked = F.coalesce("partner1", "partner2").alias("p")

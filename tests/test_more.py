@@ -76,6 +76,16 @@ def test_links_collide_and_stay_alone(spark):
         links.checked_distinct(obs.unionByName(obs.withColumn("point", F.lit("z"))), ["point", "side", "keys"]).collect()
 
 
+def test_two_signals_of_a_hot_value(spark):
+    n = spark.range(1_201)
+    obs = n.select(F.lit("a").alias("source"), "id", F.lit("p").alias("point"), F.lit("outbound").alias("side"), F.when(F.col("id") == 0, F.create_map(F.lit("k"), F.lit("hot"), F.lit("c"), F.lit("own"))).otherwise(F.create_map(F.lit("k"), F.lit("hot"))).alias("keys"))
+    obs = obs.withColumnRenamed("id", "seq").unionByName(spark.createDataFrame([("b", 0, "q", "inbound", {"c": "own"}), ("b", 1, "q", "inbound", {"k": "new"})], OBS))
+    ends = "place string, keys array<string>, up_point string, up_side string, down_point string, down_side string"
+    first, second = (links.values(obs, spark.createDataFrame([("p -> q", [k], "p", "outbound", "q", "inbound")], ends)) for k in ("k", "c"))
+    out = {(r.source, r.seq): r.verdict for r in links.combined(first, second).collect()}
+    assert out == {("a", i): "COLLIDED" for i in range(1_201)} | {("b", 0): "SIGNAL_ABSENT", ("b", 1): "UNLINKED"}
+
+
 def test_topology_ceilings_and_refusals():
     t = topology.loads(TOPOLOGY)
     assert {f"{h['src']} -> {h['dst']}": (h["evidence"], h["link"], h["key"], h["observed"]) for h in t.hops} == {
