@@ -12,6 +12,9 @@ Partial filters are made where the rows are read and merged as lists of bit
 positions, so an identity with any number of copies costs each task one entry.
 Finished filters are broadcast while they stay under ``max_filter_bytes``;
 beyond that distinct hashes and filters meet by groups of blocks in a shuffle.
+The numbers of blocks of all buckets then fit the number of groups, a power of
+two: multiples of it, or smaller powers of two. So a group of hash values needs
+its own share of each bucket's blocks only, or one block of a small bucket.
 
 Defined results: a row whose identity has a null part can't be recognised
 again; it is never a repeat and is always kept. Null capture times have a
@@ -35,6 +38,7 @@ from tallyloom.session import cut
 BLOCK_BITS = 65_536
 PROBES = 6
 MAX_BUCKETS = 64
+GROUP_BYTES = 2 << 20
 _UNKNOWN = -1
 
 
@@ -64,6 +68,13 @@ class Layout:
         return F.when(seconds.isNull(), F.lit(_UNKNOWN)).otherwise(F.floor((seconds - F.lit(self.origin)) / F.lit(self.width))).cast("int")
 
 
+def _grouped(layout: Layout) -> tuple[Layout, int]:
+    """The layout with its numbers of blocks raised to fit a number of groups, and that number. At most twice the blocks."""
+    groups = 1 << max(0, math.ceil(layout.bytes / GROUP_BYTES) - 1).bit_length()
+    fit = [-(-n // groups) * groups if n >= groups else 1 << (n - 1).bit_length() for n in layout.blocks]
+    return Layout(layout.origin, layout.width, layout.buckets, fit), groups
+
+
 def _probe(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u = hashes.view(np.uint64)
     start, step = u & np.uint64(0xFFFF), ((u >> np.uint64(16)) & np.uint64(0xFFFF)) | np.uint64(1)
@@ -146,7 +157,7 @@ class Screen:
     filters: DataFrame
     keys: list[str]
     time: str
-    max_filter_bytes: int
+    groups: int  # 0: the filters are broadcast
 
     def tagged(self, df: DataFrame) -> DataFrame:
         """The rows with ``_bucket``, ``_h`` and ``_maybe`` (possibly repeated)."""
@@ -154,7 +165,7 @@ class Screen:
         for k in self.keys:
             whole = whole & F.col(k).isNotNull()
         rows = df.withColumn("_bucket", self.layout.bucket_of(F.unix_seconds(F.col(self.time)))).withColumn("_h", F.xxhash64(*self.keys)).withColumn("_whole", whole)
-        rows = self._broadcast(rows) if self.layout.bytes <= self.max_filter_bytes else self._by_block_group(rows)
+        rows = self._by_block_group(rows) if self.groups else self._broadcast(rows)
         return rows.withColumn("_maybe", F.col("_maybe") & F.col("_whole")).drop("_whole")
 
     def _broadcast(self, rows: DataFrame) -> DataFrame:
@@ -172,20 +183,31 @@ class Screen:
 
         return rows.withColumn("_maybe", maybe("_bucket", "_h"))
 
+    def _wanted(self) -> DataFrame:
+        """The filter blocks with each group (g) of hash values that needs them."""
+        layout, groups, own = self.layout, self.groups, []
+        for first, n in zip(layout.first, layout.blocks):
+            step = min(n, groups)
+            own.append(F.when((F.col("block") >= first) & (F.col("block") < first + n), F.sequence(F.pmod(F.col("block") - first, F.lit(step)).cast("long"), F.lit(groups - 1).cast("long"), F.lit(step).cast("long"))))
+        return self.filters.select(F.explode(F.coalesce(*own)).alias("g"), "block", "once", "twice") if own else self.filters.select(F.lit(0).cast("long").alias("g"), "block", "once", "twice")
+
     def _by_block_group(self, rows: DataFrame) -> DataFrame:
         """Distinct hashes meet the filter blocks that they may need in groups of hash values; rows learn of the few that may repeat."""
-        layout = self.layout
-        groups = max(1, math.ceil(layout.bytes / (2 << 20)))
-        upper = F.shiftrightunsigned("_h", 40)
-        asked = rows.select("_h", "_bucket").distinct().withColumn("_group", F.pmod(upper, F.lit(groups)))
-        needs = F.array(*[(F.lit(layout.first[i]) + F.pmod(upper, F.lit(layout.blocks[i]))).cast("long") for i in range(len(layout.buckets))])
-        wanted = asked.select("_group", F.explode(needs).alias("block")).distinct().join(self.filters, "block").select(F.col("_group").alias("g"), "block", "once", "twice")
+        layout, groups = self.layout, self.groups
+        asked = rows.select("_h", "_bucket").distinct().withColumn("_group", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(groups)))
+        wanted = self._wanted()
 
         def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             order = np.argsort(right["block"].to_numpy())
             at = right["block"].to_numpy()[order]
-            once, twice = (np.stack([np.frombuffer(x, np.uint8) for x in right[c].iloc[order]]) if len(right) else np.zeros((1, BLOCK_BITS // 8), np.uint8) for c in ("once", "twice"))
-            out = _suspects(layout, lambda x: np.searchsorted(at, x), once, twice, left["_bucket"].to_numpy(np.int64), left["_h"].to_numpy(np.int64))
+            empty = np.zeros(BLOCK_BITS // 8, np.uint8)  # stands for the blocks in which nothing is set
+            once, twice = (np.stack([*[np.frombuffer(x, np.uint8) for x in right[c].iloc[order]], empty]) for c in ("once", "twice"))
+
+            def slot_of(x: np.ndarray) -> np.ndarray:
+                slot = np.searchsorted(at, x)
+                return np.where(np.r_[at, -1][slot] == x, slot, len(at))
+
+            out = _suspects(layout, slot_of, once, twice, left["_bucket"].to_numpy(np.int64), left["_h"].to_numpy(np.int64))
             return left.loc[out, ["_h", "_bucket"]].rename(columns={"_h": "_h2", "_bucket": "_b2"})
 
         found = asked.groupBy("_group").cogroup(wanted.groupBy("g")).applyInPandas(test, "_h2 long, _b2 int")
@@ -203,11 +225,12 @@ def screen(df: DataFrame, keys: list[str], time: str, bucket_seconds: int = 3600
     counts = sorted(df.groupBy(layout.bucket_of(seconds).alias("b")).count().collect())  # at most MAX_BUCKETS + 1 rows
     extra = 2 * max(0, math.ceil(math.log2(max(1, len(counts)) / 8)))
     layout = Layout(low, width, [b for b, _ in counts], [max(1, math.ceil(n * (bits_per_id + extra) / BLOCK_BITS)) for _, n in counts])
+    layout, groups = _grouped(layout) if layout.bytes > max_filter_bytes else (layout, 0)
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
     hashed = df.select(layout.bucket_of(seconds).alias("bucket"), F.xxhash64(*keys).alias("h"))
     filters = hashed.mapInPandas(_partial(layout), "block long, once binary, twice binary").groupBy("block").applyInPandas(_merge, "block long, once binary, twice binary")
-    return Screen(layout, filters, keys, time, max_filter_bytes)
+    return Screen(layout, filters, keys, time, groups)
 
 
 def _named(name: str):

@@ -161,6 +161,19 @@ def test_nested_forms_and_links(spark):
     assert nested.Captures(spark.createDataFrame([], "raw_id long, payload string")).span_links().count() == 0
 
 
+def test_redelivery_groups_need_their_own_blocks_only(spark, monkeypatch):
+    monkeypatch.setattr(redelivery, "GROUP_BYTES", 2 * redelivery.BLOCK_BITS // 8)
+    rows = [("a", i, 3_600 * (i % 3 if i % 100 else 3), str(i)) for i in range(60_000)] + [("a", i, 9_000, "again") for i in range(0, 60_000, 1_000)] + [("hot", 1, 90_000, "x")] * 20_000
+    df = _messages(spark, rows)
+    own = redelivery.screen(df, ["source", "seq"], "captured_at", max_filter_bytes=0)
+    blocks, buckets = own.layout.blocks, len(own.layout.blocks)
+    assert own.groups >= 16 and all(n % own.groups == 0 or own.groups % n == 0 for n in blocks)
+    held = {r.g: r["count"] for r in own._wanted().groupBy("g").count().collect()}
+    assert max(held.values()) <= sum(max(1, n // own.groups) for n in blocks) < 3 * buckets
+    found = redelivery.repeats(df, ["source", "seq"], "captured_at", max_filter_bytes=0)
+    assert {(r.source, r.seq): r.copies for r in found.collect()} == {("a", i): 2 for i in range(0, 60_000, 1_000)} | {("hot", 1): 20_000}
+
+
 RECORDS = "id string, a long, b string, n_left string"
 
 
