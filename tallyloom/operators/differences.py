@@ -1,16 +1,15 @@
 """Differences between two copies of the same records.
 
-Both sides are normalised and subtracted from one another as multisets, in both
-directions (EXCEPT ALL). Only the two residues are joined by key, in full, to
-tell one-sided keys and fields that differ. Both subtractions come from one
-aggregation: rows equal in all compared columns are counted on either side, and
-those with more on the left are the left residue, and the other way round.
+Both sides are normalised and counted by one aggregation: rows equal in all
+compared columns, on either side. A key with one row, as often on both sides,
+is done with; all rows of the other keys are joined by key, in full, to tell
+one-sided keys, fields that differ and copies.
 
 Defined results: null equals null and differs from every value; fields named in
 ``blank_as_null`` take '' as null; rows with a null key can't be compared and
 are left out; repeated rows differ in number only, which is told as 'copies'.
-A key with several different rows on a side is compared row by row with what
-the other side has left.
+A key with several different rows on a side is compared row by row with all
+rows of the other side, also with those that are equal to another one.
 """
 
 from __future__ import annotations
@@ -24,31 +23,30 @@ def _normalised(df: DataFrame, key: str, fields: list[str], blank_as_null: list[
     return df.filter(F.col(key).isNotNull()).select(F.col(key), *values)
 
 
-def residues(left: DataFrame, right: DataFrame, key: str, fields: list[str], blank_as_null: list[str] = ()) -> DataFrame:
-    """Rows whose number differs: key, fields, ``n_left`` and ``n_right``. EXCEPT ALL leaves n_left - n_right copies of a row."""
+def unsettled(left: DataFrame, right: DataFrame, key: str, fields: list[str], blank_as_null: list[str] = ()) -> DataFrame:
+    """All rows of the keys that have several different rows or one whose number differs: key, fields, ``n_left`` and ``n_right``."""
     sides = [_normalised(df, key, fields, list(blank_as_null)).withColumn("_l", F.lit(n)) for df, n in ((left, 1), (right, 0))]
     both = sides[0].unionByName(sides[1])
-    return both.groupBy(key, *fields).agg(F.sum("_l").alias("n_left"), F.sum(1 - F.col("_l")).alias("n_right")).filter("n_left <> n_right")
+    rows = both.groupBy(key, *fields).agg(F.sum("_l").alias("n_left"), F.sum(1 - F.col("_l")).alias("n_right"))
+    keys = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.bool_or(F.col("n_left") != F.col("n_right")).alias("_odd")).filter("_rows > 1 or _odd").select(key)
+    return rows.join(keys, key, "left_semi")
 
 
 def differences(left: DataFrame, right: DataFrame, key: str, fields: list[str], blank_as_null: list[str] = ()) -> DataFrame:
     """(key, field, left_value, right_value): a field that differs, 'missing_left' or 'missing_right' for a key absent there, or 'copies'."""
-    rest = residues(left, right, key, fields, blank_as_null)
-    one = F.struct(*fields)
-    sides = [rest.filter(f"n_{own} > 0").select(key, one.alias(own), F.col("n_left" if own == "left" else "n_right").alias(f"_{own}"), (F.col("n_left").cast("boolean") & F.col("n_right").cast("boolean")).alias(f"_both_{own}")) for own in ("left", "right")]
+    rest = unsettled(left, right, key, fields, blank_as_null)
+    sides = [rest.filter(F.col(f"n_{own}") > 0).select(key, F.struct(*fields).alias(own), F.col(f"n_{own}").alias(f"_{own}")) for own in ("left", "right")]
     pairs = sides[0].join(sides[1], key, "full")
-    shared = F.coalesce(F.col("_both_left"), F.col("_both_right"))
-    same_row = F.coalesce(F.col("_both_left"), F.lit(False)) & F.coalesce(F.col("_both_right"), F.lit(False))
     told = [F.when(~F.col(f"left.{f}").eqNullSafe(F.col(f"right.{f}")), F.struct(F.lit(f).alias("field"), F.col(f"left.{f}").cast("string").alias("left_value"), F.col(f"right.{f}").cast("string").alias("right_value"))) for f in fields]
     nothing = F.lit(None).cast("string")
 
-    def case(name: str):
-        return F.struct(F.lit(name).alias("field"), nothing.alias("left_value"), nothing.alias("right_value"))
+    def case(name: str, left_value=nothing, right_value=nothing):
+        return F.struct(F.lit(name).alias("field"), left_value.alias("left_value"), right_value.alias("right_value"))
 
     out = (
-        F.when(F.col("left").isNull() & ~shared, F.array(case("missing_left")))
-        .when(F.col("right").isNull() & ~shared, F.array(case("missing_right")))
-        .when(same_row, F.when(F.col("left").eqNullSafe(F.col("right")), F.array(F.struct(F.lit("copies").alias("field"), F.col("_left").cast("string").alias("left_value"), F.col("_right").cast("string").alias("right_value")))))
-        .when(F.col("left").isNotNull() & F.col("right").isNotNull() & ~F.coalesce("_both_left", F.lit(False)) & ~F.coalesce("_both_right", F.lit(False)), F.filter(F.array(*told), lambda x: x.isNotNull()))
+        F.when(F.col("_left").isNull(), F.array(case("missing_left")))
+        .when(F.col("_right").isNull(), F.array(case("missing_right")))
+        .when(F.col("left").eqNullSafe(F.col("right")), F.when(F.col("_left") != F.col("_right"), F.array(case("copies", F.col("_left").cast("string"), F.col("_right").cast("string")))))
+        .otherwise(F.filter(F.array(*told), lambda x: x.isNotNull()))
     )
     return pairs.select(key, F.explode(out).alias("d")).select(key, "d.field", "d.left_value", "d.right_value")

@@ -186,6 +186,21 @@ def test_differences(spark):
     assert differences.differences(left, left, "id", ["a", "b"]).count() == 0
 
 
+def test_differences_of_keys_with_several_rows(spark):
+    a, b, c = ((n, n * 10, n, "q") for n in range(3))
+    row = lambda k, r: (k, r[1], str(r[2]), "q")
+    left = [row("1", a), row("1", b), row("2", a), row("2", a), row("2", b), row("3", a), row("3", b), row("4", a)]
+    right = [row("1", a), row("2", a), row("3", b), row("3", a), row("4", a), row("4", c), row("4", c)]
+    found = differences.differences(spark.createDataFrame(left, RECORDS), spark.createDataFrame(right, RECORDS), "id", ["a", "b"])
+    expected = []
+    for k in "1234":
+        sides = [{r: rows.count(r) for r in rows if r[0] == k} for rows in (left, right)]
+        for x, n in sides[0].items():
+            for y, m in sides[1].items():
+                expected += [(k, f, str(x[i]), str(y[i])) for i, f in ((1, "a"), (2, "b")) if x[i] != y[i]] + ([(k, "copies", str(n), str(m))] if x == y and n != m else [])
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
 def test_ranked_counts_on_over_partitions(spark):
     df = spark.createDataFrame([(None if i % 5 == 0 else i % 3, i * 7 % 101) for i in range(500)], "g long, v long")
     rows = ranked(df, ["g"], ["v"]).collect()
