@@ -219,10 +219,10 @@ def fit(samples: list[tuple[str, str]], terms: list[tuple[str, str]], most_sampl
     return Chain(weights, bias, chained)
 
 
-def score(documents: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id, the greatest probability of each stage over the sentences, and the number of sentences."""
+def score(documents: DataFrame, chain: Chain, keep: list[str] = ()) -> DataFrame:
+    """doc_id, the columns to ``keep``, the greatest probability of each stage over the sentences, and the number of sentences; one row for each row."""
     shared = documents.sparkSession.sparkContext.broadcast(chain)  # of fixed size
-    narrow = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    narrow = documents.select("doc_id", *keep, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -235,7 +235,7 @@ def score(documents: DataFrame, chain: Chain) -> DataFrame:
                 some = counts > 0
                 if some.any():
                     out[some] = np.maximum.reduceat(p, (np.cumsum(counts) - counts)[some], axis=0)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **{s: out[:, i] for i, s in enumerate(STAGES)}, "sentences": counts})
+                yield pd.DataFrame({**{c: part[c].to_numpy() for c in ("doc_id", *keep)}, **{s: out[:, i] for i, s in enumerate(STAGES)}, "sentences": counts})
 
-    kind = dict(documents.dtypes)["doc_id"]
-    return narrow.mapInPandas(run, f"doc_id {kind}, abuse double, hate double, sexual double, any double, sentences long")
+    kinds = dict(documents.dtypes)
+    return narrow.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *keep)) + ", abuse double, hate double, sexual double, any double, sentences long")

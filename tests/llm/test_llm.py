@@ -270,6 +270,15 @@ def test_scores_of_documents(spark):
     assert abuse.score(docs.limit(0), chain).count() == 0
 
 
+def test_rates_count_each_row_once(spark, tmp_path):
+    for name in ("moderation_samples", "abuse_terms"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{oracle.DATA}/{name}.parquet")
+    bad, good = "You stupid moron.", "Thanks, that was the fuse indeed."
+    rows = [(1, "a", bad), (1, "a", bad), (1, "a", good), (None, "a", bad), (None, "b", good), (2, "b", None), (3, None, bad)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.source: (r.documents, r.flagged) for r in queries.p10_rates(spark, str(tmp_path)).collect()} == {"a": (4, 3), "b": (2, 0), None: (1, 1)}
+
+
 def test_normal_form():
     assert abuse.normal("Y0u D-u-m-b cl_0wn, s t u p i d") == "you dumb cl#own stupid"
     assert json.dumps(abuse.sentences("One. Two!\n\nThree")) == '["one", "two", "three"]'
