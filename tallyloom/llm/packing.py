@@ -7,9 +7,10 @@ fill a pack, is solved by multiplicative weights: lengths that are covered
 least weigh most, and the pack that is worth most at these weights, found by
 dynamic programming over the capacity (a knapsack), is added to the mix. The
 weights also price the lengths so that no pack is worth more than one, which
-makes their sum a lower bound on the number of packs. The mix is scaled to the
-histogram and rounded down; what is left over is packed best-fit, the longest
-first, again on the histogram.
+makes their sum a lower bound on the number of packs. The program is stopped
+after a number of rounds, whether its mix covers all lengths or not. The mix is
+scaled to the histogram and rounded down; what is left over, most of the tokens
+in general, is packed best-fit, the longest first, again on the histogram.
 
 The plan tells for each length which of its texts, by rank, go to which packs.
 Ranks come from a distributed sort with counts per partition. The plan's size
