@@ -3,7 +3,8 @@
 Texts are cut into sentences, quoted parts included, and each sentence is
 brought into plain form: markup, quote marks, invisible and look-alike letters,
 digits that stand for letters, letters set apart and letters drawn out are
-undone. Its features are hashed letter n-grams with and without the spaces.
+undone. Its features are hashed n-grams of bytes with and without the spaces,
+so letters of all scripts count; disguises are undone of Latin letters only.
 
 The classifiers form a chain: abuse, hate, sexual, any. Each later linear model
 also takes the probabilities of the earlier ones; in training these are
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.text import plain, unquoted_marks
+from tallyloom.llm.text import MARKS, plain, unquoted_marks
 
 STAGES = ("abuse", "hate", "sexual", "any")
 SIZE = 1 << 17
@@ -46,7 +47,7 @@ _APART = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$][ \-_.*·]{1,2}){3,}[a-z0-9@$](?
 _DRAWN = re.compile(r"([a-z])\1{2,}")
 _MASK = re.compile(r"(?<=[a-z0-9])[_*](?=[a-z0-9])")
 _NUMBER = re.compile(r"[\d.,:%]+$")
-_OTHER = re.compile(r"[^a-z0# ]+")
+_OTHER = re.compile(rf"(?:[^a-z0# \u0080-\U0010ffff]|[^\w\x00-\x7f{MARKS}])+")  # letters of all scripts stay
 _END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n\s*\n|\n(?=\s*[-*•] )")
 _BREAK = re.compile(r"\s*\n\s*")
 

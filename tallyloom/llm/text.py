@@ -17,6 +17,10 @@ _MOJIBAKE = re.compile("[ÂÃÄÅÐÑâð][\u0080-ÿŒœŠšŸŽžƒˆ˜–-›
 _QUOTE_MARK = re.compile(r"^[ \t]*(?:[>|:»]+[ \t]?)+", re.M)
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 _WORD = re.compile(r"[a-z0-9]+")
+# Vowel signs that are marks with a width, as in Devanagari: parts of a word. Scripts without spaces: each sign is a word.
+MARKS = "".join(chr(c) for c in range(0x300, 0x12000) if unicodedata.category(chr(c)) == "Mc")
+_SIGNS = "\u0e00-\u0eff\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ANY_WORD = re.compile(rf"[^\W_]" rf"(?<=[{_SIGNS}])|(?:(?![{_SIGNS}])(?:[^\W_]|[{MARKS}]))+")
 
 
 def _repair(m: re.Match) -> str:
@@ -48,7 +52,8 @@ def unquoted_marks(text: str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-case words of letters and digits, in order, quoted parts included."""
+    """Lower-case words of letters and digits of any script, in order, quoted parts included."""
     if not text:
         return []
-    return _WORD.findall(_APOSTROPHE.sub("", plain(text)).casefold())
+    own = _APOSTROPHE.sub("", plain(text)).casefold()
+    return (_WORD if own.isascii() else _ANY_WORD).findall(own)

@@ -270,6 +270,12 @@ def test_scores_of_documents(spark):
     assert abuse.score(docs.limit(0), chain).count() == 0
 
 
+def test_letters_of_all_scripts():
+    assert words("नमस्ते किताब, שלום עולם! Дом œuvre_1") == ["नमसत", "किताब", "שלום", "עולם", "дom", "œuvre", "1"]
+    assert words("你好 テ1") == ["你", "好", "テ", "1"]
+    assert abuse.sentences("مرحبا بالعالم. 你好, 世界!") == ["مرحبا بالعالم", "你好 世界"] and abuse.sentences("— 、") == []
+
+
 def test_rates_count_each_row_once(spark, tmp_path):
     for name in ("moderation_samples", "abuse_terms"):
         (tmp_path / f"{name}.parquet").symlink_to(f"{oracle.DATA}/{name}.parquet")
