@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.digests import UNIT, digest_text
-from tallyloom.operators.late_events import carried_clocks
+from tallyloom.operators.late_events import carried_clocks, in_stretches
 from tallyloom.operators.timing import components
 from tallyloom.session import cut
 
@@ -42,9 +42,7 @@ SCHEMA = "flow_id string, place string, source string, seq long, kind string, ke
 def timeline(journal: DataFrame, config: DataFrame, stretch: int = 50_000) -> DataFrame:
     """flow_id, pos, mark_before, mark, forced of every entry that tells a time (flow_id, pos, source, time)."""
     j = journal.select("flow_id", "pos", "source", "time").filter("time is not null and flow_id is not null and pos is not null and source is not null")
-    low, high, n = j.agg(F.min("pos"), F.max("pos"), F.count("*")).first()
-    width = max(stretch, -(-((high or 0) - (low or 0) + 1) * stretch // max(1, n)))
-    j = j.withColumn("part", F.floor((F.col("pos") - F.lit(low or 0)) / F.lit(width)).cast("long"))
+    j = in_stretches(j, stretch)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -10,10 +10,11 @@ root. When the cut-off passes the end of a period the period's aggregate is
 read from the tree and everything older is dropped as whole subtrees. Rows older
 than the cut-off are refused.
 
-To hold flows of any size the journal is divided into stretches of arrival
-positions. What the clocks have reached before each stretch is a running
-maximum over one row per source and stretch, so every (flow, stretch) folds on
-its own, and the counts of a period are the sums over its stretches.
+To hold flows of any size the journal is divided into stretches of successive
+entries by a range sort of their positions, so their sizes don't depend on how
+the positions are spread. What the clocks have reached before each stretch is a
+running maximum over one row per source and stretch, so every (flow, stretch)
+folds on its own, and the counts of a period are the sums over its stretches.
 
 Defined results: rows without a time tell nothing and are no case; of a
 redelivered row only the first position counts; there is no cut-off until every
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut, partitions
+
 WIDTH = 64
 
 
@@ -171,6 +174,12 @@ def fold(rows, clocks: dict[str, int | None], lateness: int, period: int):
     return refused, done + [(*x, None) for x in tree.close(period, float("inf"))]
 
 
+def in_stretches(entries: DataFrame, stretch: int) -> DataFrame:
+    """The entries with ``part``: stretches of at most ``stretch`` entries that follow one another in ``pos``, kept so that all uses see the same ones."""
+    placed = entries.repartitionByRange(partitions(entries.sparkSession), "pos").sortWithinPartitions("pos")
+    return cut(placed.withColumn("part", F.floor(F.monotonically_increasing_id() / F.lit(stretch)).cast("long")))
+
+
 def carried_clocks(told: DataFrame, config: DataFrame) -> DataFrame:
     """What each declared source's clock has reached before each stretch: f, p (flow and stretch), source, clock as text, and the flow's settings.
 
@@ -191,15 +200,13 @@ def late_events(journal: DataFrame, config: DataFrame, stretch: int = 50_000) ->
     seen = F.col("kind") == "seen"
     j = journal.select("flow_id", "pos", "source", "seq", seen.alias("seen"), F.when(seen, F.coalesce("at_us", "end_us")).when(F.col("kind") == "advance", F.col("until_us")).alias("time"))
     j = j.filter("time is not null and flow_id is not null and pos is not null and source is not null")
-    low, high, n = j.agg(F.min("pos"), F.max("pos"), F.count("*")).first()
-    width = max(stretch, -(-((high or 0) - (low or 0) + 1) * stretch // max(1, n)))
-    of = F.floor((F.col("pos") - F.lit(low or 0)) / F.lit(width)).cast("long")
-    first = j.filter("seen and seq is not null").groupBy("flow_id", "source", "seq").agg(F.min_by(F.struct("pos", "time"), "pos").alias("f"))
-    first = first.select("flow_id", "f.pos", "source", "f.time", F.lit(True).alias("counts"))
-    told = j.select("flow_id", "pos", "source", "time", F.lit(False).alias("counts"))
-    rows = first.unionByName(told).withColumn("part", of)
-
-    carried = carried_clocks(told.withColumn("part", of), config)
+    j = in_stretches(j, stretch)
+    first = j.filter("seen and seq is not null").groupBy("flow_id", "source", "seq").agg(F.min_by(F.struct("pos", "time", "part"), "pos").alias("f"))
+    first = first.select("flow_id", "f.pos", "source", "f.time", F.lit(True).alias("counts"), "f.part")
+    told = j.select("flow_id", "pos", "source", "time", F.lit(False).alias("counts"), "part")
+    rows = first.unionByName(told)
+
+    carried = carried_clocks(told, config)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["flow_id", "kind", "pos", "at_us", "cutoff_us", "period_us", "period", "rows", "corrections"]

@@ -34,16 +34,16 @@ def p3_period_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    links = nested.Captures(table(spark, d, "agent_payloads")).span_links()
+    links = nested.Captures(table(spark, d, "agent_payloads"), ("request", "span")).span_links()
     return links.select("raw_id", "conn_key", "span_id", "parent_span_id").distinct()
 
 
 def p5_attributes(spark: SparkSession, d: str) -> DataFrame:
     """Spans' method and clientAddr, one row for each occurrence."""
-    captures = nested.Captures(table(spark, d, "agent_payloads"))
+    captures = nested.Captures(table(spark, d, "agent_payloads"), ("span", "attribute"))
     ids = captures.spans().select(F.col("hash").alias("parent_hash"), "span_id")
     named = captures.attributes().filter(F.col("name").isin("method", "clientAddr"))
-    return captures.bridge("attribute").join(named, "hash").join(ids, "parent_hash").select("raw_id", "parent", "span_id", "name", "value")
+    return captures.bridge("attribute").join(named, "hash").join(ids, "parent_hash").select("raw_id", F.coalesce("span_id", F.lit("")).alias("span_id"), "name", "value")
 
 
 def _differences(spark: SparkSession, d: str) -> DataFrame:
@@ -97,9 +97,17 @@ outer_ AS (SELECT raw_id, conn_key, one AS s FROM top WHERE json_type(one) = 'OB
 tree AS (SELECT raw_id, conn_key, s, coalesce(s->>'spanID', '') AS span_id, '' AS parent_span_id FROM outer_ WHERE json_type(s) = 'OBJECT'
   UNION ALL SELECT raw_id, conn_key, c, coalesce(c->>'spanID', ''), span_id FROM (
     SELECT raw_id, conn_key, span_id, unnest(CAST(s->'children' AS JSON[])) AS c FROM tree WHERE json_type(s->'children') = 'ARRAY') WHERE json_type(c) = 'OBJECT')
-SELECT DISTINCT raw_id, conn_key, span_id, parent_span_id FROM tree
 """
 
+_ATTRIBUTES = (
+    _SPANS
+    + """, held AS (SELECT raw_id, span_id, CASE json_type(s->'attributes') WHEN 'VARCHAR' THEN CAST(s->>'attributes' AS JSON) ELSE s->'attributes' END AS a FROM tree),
+each_ AS (SELECT raw_id, span_id, n AS name, a->>('$."' || n || '"') AS value FROM (SELECT *, unnest(json_keys(a)) AS n FROM held WHERE json_type(a) = 'OBJECT')
+  UNION ALL SELECT raw_id, span_id, coalesce(x->>'key', x->>'name'), x->>'value' FROM (SELECT raw_id, span_id, unnest(CAST(a AS JSON[])) AS x FROM held WHERE json_type(a) = 'ARRAY') WHERE json_type(x) = 'OBJECT')
+SELECT raw_id, span_id, name, value FROM each_ WHERE name IN ('method', 'clientAddr')
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -111,7 +119,8 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (clock IS NULL OR t >= clock - lateness_us) AS rows,
             count(*) FILTER (t >= clock - lateness_us AND clock >= (t // period_us + 1) * period_us) AS corrections,
             count(*) FILTER (t < clock - lateness_us) AS refused FROM x GROUP BY ALL""",
-        "p5_found": _SPANS,
+        "p5_found": _SPANS + "SELECT DISTINCT raw_id, conn_key, span_id, parent_span_id FROM tree",
+        "p5_attributes": _ATTRIBUTES,
         "p6_found": _COPIES + f"SELECT DISTINCT id, field FROM ({_FIELDS} UNION ALL SELECT id, 'missing_right', NULL, NULL FROM l WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT id, 'missing_left', NULL, NULL FROM r WHERE id NOT IN (SELECT id FROM l))",
         "p6_values": _COPIES
         + f"""{_FIELDS} UNION ALL SELECT id, 'missing_right', NULL, NULL FROM l WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT id, 'missing_left', NULL, NULL FROM r WHERE id NOT IN (SELECT id FROM l)

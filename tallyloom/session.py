@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def local_session(cores: int = 8, app: str = "tallyloom", **conf: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -29,17 +33,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is missing (tests on one machine) is a temporary folder made.
+    Where that setting is missing a temporary folder is made, but only on one machine: each executor of a cluster
+    would write to a disk of its own.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` has made in this process and the session's checkpoints; results that read them can't be used any more."""
+    path, hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    own = [path(_made.pop()) for _ in range(len(_made))]
+    if named := spark.sparkContext.getCheckpointDir():  # the folder that Spark has made for this session below the one it was given
+        at = path(named)
+        files = at.getFileSystem(hadoop)
+        own += [x.getPath() for x in files.listStatus(at)] if files.exists(at) else []
+    for at in own:
+        at.getFileSystem(hadoop).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written to the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -50,6 +71,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """The same rows as a table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom-{uuid.uuid4().hex}"
+    _made.append(path)
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,10 +7,11 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from tallyloom.session import local_session
+def spark(tmp_path_factory):
+    from tallyloom.session import clean, local_session
 
-    session = local_session(4)
+    session = local_session(4, spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean(session)
     session.stop()

@@ -207,3 +207,41 @@ def test_ranked_counts_on_over_partitions(spark):
     for g in (None, 0, 1, 2):
         own = sorted((r["rank"], r["v"]) for r in rows if r["g"] == g)
         assert [r for r, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+
+
+def _hashes(payload):
+    return [(n[1], n[2], n[5]) for n in nested.nodes_of(json.loads(payload))]
+
+
+def test_identities_do_not_depend_on_the_order_of_members():
+    a = '{"load_gen_row":{"conn_key":"c","x":1},"spans":[{"spanID":"s","attributes":{"method":"GET","url":"/"}}]}'
+    b = '{"spans":[{"attributes":{"url":"/","method":"GET"},"spanID":"s"}],"load_gen_row":{"x":1,"conn_key":"c"}}'
+    assert sorted(_hashes(a)) == sorted(_hashes(b))
+    swapped = '{"load_gen_row":{},"spans":[{"spanID":"t"},{"spanID":"s"}]}'
+    assert _hashes(swapped)[0] != _hashes('{"load_gen_row":{},"spans":[{"spanID":"s"},{"spanID":"t"}]}')[0]
+
+
+def test_spans_without_id_and_all_fields_at_any_depth():
+    payload = {
+        "agent": "a1",
+        "rows": [
+            {
+                "cell": "t1",
+                "load_gen_row": {"conn_key": "c", "tags": ["x", {"deep": {"deeper": 1}}], "none": {}},
+                "spans": {"m1": {"start": "1", "attributes": {"method": "GET"}, "statusCode": 7, "events": [{"at": 3}], "children": [{"attributes": {"method": "PUT"}}]}, "m2": {"spanID": "s2", "links": []}},
+            }
+        ],
+    }
+    nodes = nested.nodes_of(payload)
+    spans = [n for n in nodes if n[1] == "span"]
+    assert len(spans) == 3 and [n[4].get("spanID") for n in spans] == [None, None, "s2"]
+    assert spans[0][4]["statusCode"] == "7" and spans[2][4]["links"] == "[]"
+    parts = {(n[2], json.dumps(n[4], sort_keys=True)) for n in nodes if n[1] == "part"}
+    assert parts == {("envelope", '{"agent": "a1"}'), ("record", '{"cell": "t1"}'), ("events", '{"at": "3"}'), ("tags", '{"": "x"}'), ("tags", "{}"), ("deep", '{"deeper": "1"}')}
+    assert all(n[0] < i for i, n in enumerate(nodes))
+
+
+def test_stretches_do_not_depend_on_the_spread_of_positions(spark):
+    rows = [(i if i < 999 else 10**12, "x") for i in range(1_000)]
+    parts = late_events.in_stretches(spark.createDataFrame(rows, "pos long, source string"), 100).groupBy("part").agg({"pos": "max", "*": "count"}).collect()
+    assert max(r["count(1)"] for r in parts) <= 100
