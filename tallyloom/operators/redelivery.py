@@ -3,10 +3,11 @@
 Rows are put into time buckets by their time of capture. Each bucket has a
 Bloom filter of its identities, in blocks of 65,536 bits, all bits of an
 identity in one block. A second plane of the filter tells the bits that were
-set at least twice. A row is *possibly repeated* if its bits are all set twice
-in its own bucket or all set in another one; every other row is definitely the
-only one of its identity and goes no further. Only possible repeats, which come
-from the matching buckets alone, are shuffled and compared exactly.
+set at least twice. A row *matches* its own bucket if its bits are all set
+twice there, and another one if they are all set in it. A row that matches none
+is definitely the only one of its identity and goes no further. All others,
+the possible repeats, are stored by bucket, and each is verified exactly
+against what is stored in the buckets that it matches, and in no others.
 
 Partial filters are made where the rows are read and merged as lists of bit
 positions, so an identity with any number of copies costs each task one entry.
@@ -33,11 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, partitions, written
 
 BLOCK_BITS = 65_536
 PROBES = 6
-MAX_BUCKETS = 64
+MAX_BUCKETS = 62  # and one for rows without a time: a row's matching buckets fit the bits of a long
 GROUP_BYTES = 2 << 20
 _UNKNOWN = -1
 
@@ -137,15 +138,16 @@ def _all_set(plane: np.ndarray, rows: np.ndarray, bits: np.ndarray) -> np.ndarra
     return out
 
 
-def _suspects(layout: Layout, slot_of, once: np.ndarray, twice: np.ndarray, bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _matches(layout: Layout, slot_of, once: np.ndarray, twice: np.ndarray, bucket: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The buckets that each row matches, as bits by their place in the layout."""
     block, bits = _probe(h)
-    out = np.zeros(len(h), bool)
+    out = np.zeros(len(h), np.int64)
     for i, b in enumerate(layout.buckets):
         at = layout.first[i] + (block % np.uint64(layout.blocks[i])).astype(np.int64)
         own = bucket == b
-        for mask, plane in ((own & ~out, twice), (~own & ~out, once)):
+        for mask, plane in ((own, twice), (~own, once)):
             some = np.flatnonzero(mask)
-            out[some] = _all_set(plane, slot_of(at[some]), bits[some])
+            out[some] |= _all_set(plane, slot_of(at[some]), bits[some]).astype(np.int64) << i
     return out
 
 
@@ -160,13 +162,26 @@ class Screen:
     groups: int  # 0: the filters are broadcast
 
     def tagged(self, df: DataFrame) -> DataFrame:
-        """The rows with ``_bucket``, ``_h`` and ``_maybe`` (possibly repeated)."""
+        """The rows with ``_bucket``, ``_h`` and ``_mask``, the buckets that they match (0: definitely new)."""
         whole = F.lit(True)
         for k in self.keys:
             whole = whole & F.col(k).isNotNull()
         rows = df.withColumn("_bucket", self.layout.bucket_of(F.unix_seconds(F.col(self.time)))).withColumn("_h", F.xxhash64(*self.keys)).withColumn("_whole", whole)
         rows = self._by_block_group(rows) if self.groups else self._broadcast(rows)
-        return rows.withColumn("_maybe", F.col("_maybe") & F.col("_whole")).drop("_whole")
+        return rows.withColumn("_mask", F.when(F.col("_whole"), F.col("_mask")).otherwise(F.lit(0)).cast("long")).drop("_whole")
+
+    def stored(self, maybe: DataFrame) -> DataFrame:
+        """Possible repeats as a table by bucket, each bucket in parts by hash."""
+        n = partitions(maybe.sparkSession)
+        parts = max(1, n // max(1, len(self.layout.buckets)))
+        return written(maybe.repartition(n, "_bucket", F.pmod("_h", F.lit(parts))).drop("_h"), "_bucket")
+
+    def verified(self, stored: DataFrame) -> DataFrame:
+        """The identities that are stored more than once in the buckets matched by one of their rows, and their number of copies."""
+        matched = F.array(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(b)) for i, b in enumerate(self.layout.buckets)]) if self.layout.buckets else F.array().cast("array<int>")
+        asked = stored.select(*self.keys, F.explode(F.filter(matched, lambda b: b.isNotNull())).alias("_bucket")).distinct()
+        held = stored.groupBy("_bucket", *self.keys).agg(F.count("*").alias("_n"))
+        return asked.join(held, ["_bucket", *self.keys]).groupBy(*self.keys).agg(F.sum("_n").alias("copies")).filter("copies > 1")
 
     def _broadcast(self, rows: DataFrame) -> DataFrame:
         layout = self.layout
@@ -177,11 +192,11 @@ class Screen:
             twice[r["block"]] = np.frombuffer(r["twice"], np.uint8)
         shared = rows.sparkSession.sparkContext.broadcast((once, twice))
 
-        @F.pandas_udf("boolean")
-        def maybe(bucket: pd.Series, h: pd.Series) -> pd.Series:
-            return pd.Series(_suspects(layout, lambda at: at, *shared.value, bucket.to_numpy(np.int64), h.to_numpy(np.int64)))
+        @F.pandas_udf("long")
+        def mask(bucket: pd.Series, h: pd.Series) -> pd.Series:
+            return pd.Series(_matches(layout, lambda at: at, *shared.value, bucket.to_numpy(np.int64), h.to_numpy(np.int64)))
 
-        return rows.withColumn("_maybe", maybe("_bucket", "_h"))
+        return rows.withColumn("_mask", mask("_bucket", "_h"))
 
     def _wanted(self) -> DataFrame:
         """The filter blocks with each group (g) of hash values that needs them."""
@@ -207,24 +222,26 @@ class Screen:
                 slot = np.searchsorted(at, x)
                 return np.where(np.r_[at, -1][slot] == x, slot, len(at))
 
-            out = _suspects(layout, slot_of, once, twice, left["_bucket"].to_numpy(np.int64), left["_h"].to_numpy(np.int64))
-            return left.loc[out, ["_h", "_bucket"]].rename(columns={"_h": "_h2", "_bucket": "_b2"})
+            out = _matches(layout, slot_of, once, twice, left["_bucket"].to_numpy(np.int64), left["_h"].to_numpy(np.int64))
+            some = out != 0
+            return pd.DataFrame({"_h2": left["_h"][some], "_b2": left["_bucket"][some], "_mask": out[some]})
 
-        found = asked.groupBy("_group").cogroup(wanted.groupBy("g")).applyInPandas(test, "_h2 long, _b2 int")
+        found = asked.groupBy("_group").cogroup(wanted.groupBy("g")).applyInPandas(test, "_h2 long, _b2 int, _mask long")
         joined = rows.join(found, (F.col("_h") == F.col("_h2")) & (F.col("_bucket") == F.col("_b2")), "left")
-        return joined.withColumn("_maybe", F.col("_h2").isNotNull()).drop("_h2", "_b2")
+        return joined.withColumn("_mask", F.coalesce("_mask", F.lit(0).cast("long"))).drop("_h2", "_b2")
 
 
 def screen(df: DataFrame, keys: list[str], time: str, bucket_seconds: int = 3600, bits_per_id: int = 16, max_filter_bytes: int = 64 << 20) -> Screen:
     """Filters over all rows of ``df``. Buckets are widened until there are at most MAX_BUCKETS of them."""
     seconds = F.unix_seconds(F.col(time))
-    low, high = df.agg(F.min(seconds), F.max(seconds)).first()
+    hour = F.floor(seconds / F.lit(bucket_seconds))
+    hours = cut(df.groupBy(hour.alias("hour")).agg(F.count("*").alias("n")))
+    low, high = hours.agg(F.min("hour"), F.max("hour")).first()
     low, high = (0, 0) if low is None else (low, high)
-    width = bucket_seconds * max(1, math.ceil((high - low + 1) / bucket_seconds / (MAX_BUCKETS - 1)))
-    layout = Layout(low, width, [], [])
-    counts = sorted(df.groupBy(layout.bucket_of(seconds).alias("b")).count().collect())  # at most MAX_BUCKETS + 1 rows
+    layout = Layout(low * bucket_seconds, bucket_seconds * math.ceil((high - low + 1) / MAX_BUCKETS), [], [])
+    counts = sorted(hours.groupBy(layout.bucket_of(F.col("hour") * F.lit(bucket_seconds)).alias("b")).agg(F.sum("n")).collect())  # at most MAX_BUCKETS + 1 rows
     extra = 2 * max(0, math.ceil(math.log2(max(1, len(counts)) / 8)))
-    layout = Layout(low, width, [b for b, _ in counts], [max(1, math.ceil(n * (bits_per_id + extra) / BLOCK_BITS)) for _, n in counts])
+    layout = Layout(layout.origin, layout.width, [b for b, _ in counts], [max(1, math.ceil(n * (bits_per_id + extra) / BLOCK_BITS)) for _, n in counts])
     layout, groups = _grouped(layout) if layout.bytes > max_filter_bytes else (layout, 0)
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
@@ -246,8 +263,8 @@ def _narrow(df: DataFrame, keys: list[str], time: str, *more) -> tuple[DataFrame
 def repeats(df: DataFrame, keys: list[str], time: str, **options) -> DataFrame:
     """Each identity with more than one row, and its number of copies."""
     narrow, own = _narrow(df, keys, time)
-    maybe = screen(narrow, own, "t", **options).tagged(narrow).filter("_maybe")
-    found = maybe.groupBy(*own).agg(F.count("*").alias("copies")).filter("copies > 1")
+    held = screen(narrow, own, "t", **options)
+    found = held.verified(held.stored(held.tagged(narrow).filter("_mask <> 0").select("_bucket", "_mask", "_h", *own)))
     return found.select(*[F.col(n).alias(k) for n, k in zip(own, keys)], "copies")
 
 
@@ -256,9 +273,11 @@ def exactly_one(df: DataFrame, keys: list[str], time: str, then: list[str] = (),
     ties = [time, *then, *[c for c in df.columns if c not in (time, *then, *keys)]]
     order = F.struct(*[x for i, c in enumerate(ties) for x in (_named(c).isNull().alias(f"n{i}"), _comparable(df, c).alias(f"c{i}"))])
     rows, own = _narrow(df, keys, time, F.struct(*[_named(c).alias(f"v{i}") for i, c in enumerate(df.columns)]).alias("row"), order.alias("order"))
-    tagged = screen(rows, own, "t", **options).tagged(rows)
-    first = tagged.filter("_maybe").groupBy(*own).agg(F.min_by("row", "order").alias("row"))
-    both = tagged.filter("not _maybe").select("row").unionByName(first.select("row"))
+    held = screen(rows, own, "t", **options)
+    tagged = written(held.tagged(rows).withColumn("_new", F.col("_mask") == 0), "_new")
+    kept = held.stored(tagged.filter("not _new").drop("_new"))  # all copies of an identity lie in the buckets that its rows match
+    first = kept.groupBy(*own).agg(F.min_by("row", "order").alias("row"))
+    both = tagged.filter("_new").select("row").unionByName(first.select("row"))
     return both.select(*[F.col(f"row.v{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
@@ -271,52 +290,72 @@ class DeliveryStore:
     """Kept messages as a table by time bucket, with the buckets' filters beside it; one ``accept`` for each delivered batch.
 
     Works as the function of ``foreachBatch``: a batch given again after a failure finds its identities stored and
-    adds nothing. Filters have a fixed number of blocks a bucket, so those of each batch are appended and merged on
-    reading. A bucket that outgrows its blocks only sends more rows to the exact comparison.
+    adds nothing. Filters have a fixed number of blocks a bucket, so those of each batch are appended, and put
+    together into a new generation now and then. A batch's hashes meet the filters of all buckets by the number of
+    the block, in ranges of buckets, so any number of buckets will do. A bucket that outgrows its blocks only sends
+    more rows to the exact comparison, which reads the matching buckets only.
     """
 
-    def __init__(self, path: str, keys: list[str], time: str, bucket_seconds: int = 3600, blocks_per_bucket: int = 32) -> None:
+    def __init__(self, path: str, keys: list[str], time: str, bucket_seconds: int = 3600, blocks_per_bucket: int = 32, buckets_at_once: int = 512, most_files: int = 256) -> None:
         self.path, self.keys, self.time = path, keys, time
-        self.bucket_seconds, self.blocks = bucket_seconds, blocks_per_bucket
+        self.bucket_seconds, self.blocks, self.at_once, self.most_files = bucket_seconds, blocks_per_bucket, buckets_at_once, most_files
+
+    def _generations(self, spark) -> list[int]:
+        """Those that are complete; the last one counts."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n[8:]) for n in names if n.startswith("filters-") and files.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _matching(self, own: DataFrame, filters: DataFrame) -> DataFrame:
+        """_h, _in: each hash of the batch with each bucket whose filter has all its bits."""
+        blocks, at_once = self.blocks, self.at_once
+        merged = filters.groupBy("block").applyInPandas(_merge, "block long, once binary, twice binary")
+        bucket = F.floor(F.col("block") / F.lit(blocks)).cast("int")
+        parts = merged.select(bucket.alias("_in"), F.pmod("block", F.lit(blocks)).alias("at"), F.floor(bucket / F.lit(at_once)).alias("lot"), "once")
+        lots = [r[0] for r in filters.select(F.floor(bucket / F.lit(at_once)).alias("lot")).distinct().collect()]  # one for so many buckets
+        asked = own.select("_h").distinct().select("_h", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(blocks)).alias("at"), F.explode(F.array(*map(F.lit, lots))).alias("lot"))
+
+        def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            h = left["_h"].to_numpy(np.int64)
+            bits, out = _probe(h)[1], []
+            for b, once in zip(right["_in"], right["once"]):
+                hit = h[_all_set(np.frombuffer(once, np.uint8)[None, :], np.zeros(len(h), np.int64), bits)]
+                out.append(pd.DataFrame({"_h": hit, "_in": b}))
+            return pd.concat(out) if out else pd.DataFrame({"_h": [], "_in": []})
 
-    def _exists(self, spark) -> bool:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/filters")
-        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return asked.groupBy("lot", "at").cogroup(parts.groupBy("lot", "at")).applyInPandas(test, "_h long, _in int")
 
     def accept(self, batch: DataFrame, batch_id: int | None = None) -> DataFrame:
         """Adds the batch's new messages to the store and returns them."""
         spark, keys = batch.sparkSession, self.keys
         seconds = F.unix_seconds(F.col(self.time))
         bucket = F.coalesce(F.floor(seconds / F.lit(self.bucket_seconds)), F.lit(_UNKNOWN)).cast("int")
-        own = exactly_one(batch, keys, self.time).withColumn("_bucket", bucket).withColumn("_h", F.xxhash64(*keys))
-        if self._exists(spark):
-            filters = spark.read.parquet(f"{self.path}/filters")
-            found = sorted(r[0] for r in filters.select((F.col("block") / self.blocks).cast("int")).distinct().collect())
-            if len(found) * self.blocks * BLOCK_BITS // 8 > 256 << 20:
-                raise ValueError("the filters of the store are over 256 MB: use wider time buckets")
-            planes = np.zeros((len(found), self.blocks, BLOCK_BITS // 8), np.uint8)
-            slot = {b: i for i, b in enumerate(found)}
-            for r in filters.groupBy("block").applyInPandas(_merge, "block long, once binary, twice binary").select("block", "once").toLocalIterator():
-                planes[slot[int(r["block"] // self.blocks)], r["block"] % self.blocks] = np.frombuffer(r["once"], np.uint8)
-            shared, blocks = spark.sparkContext.broadcast((found, planes)), self.blocks
-
-            @F.pandas_udf("array<int>")
-            def matching(h: pd.Series) -> pd.Series:
-                block, bits = _probe(h.to_numpy(np.int64))
-                at = (block % np.uint64(blocks)).astype(np.int64)
-                hits = [_all_set(plane, at, bits) for plane in shared.value[1]]
-                return pd.Series([[b for b, x in zip(shared.value[0], row) if x] for row in zip(*hits)])
-
-            seen = matching("_h")
-            own = cut(own.withColumn("_seen", seen))
-            maybe = own.filter(F.size("_seen") > 0)
-            touched = [r[0] for r in maybe.select(F.explode("_seen")).distinct().collect()]  # at most the number of buckets
-            stored = spark.read.schema(own.drop("_seen", "_h").schema).parquet(f"{self.path}/rows").filter(F.col("_bucket").isin(touched))
-            own = own.filter(F.size("_seen") == 0).unionByName(maybe.join(stored.select(*keys), keys, "left_anti")).drop("_seen")
-        own = cut(own)
-        first = F.col("_bucket").cast("long") * self.blocks
+        own = cut(exactly_one(batch, keys, self.time).withColumn("_bucket", bucket).withColumn("_h", F.xxhash64(*keys)))
+        generation = max(self._generations(spark), default=None)
+        if generation is not None:
+            filters = spark.read.parquet(f"{self.path}/filters-{generation}")
+            if len(filters.inputFiles()) > self.most_files:
+                generation += 1
+                filters.groupBy("block").applyInPandas(_together, "block long, once binary, twice binary").write.mode("overwrite").parquet(f"{self.path}/filters-{generation}")
+                filters = spark.read.parquet(f"{self.path}/filters-{generation}")
+            matching = cut(self._matching(own, filters))
+            touched = [r[0] for r in matching.select("_in").distinct().collect()]  # at most the number of buckets
+            stored = spark.read.schema(own.drop("_h").schema).parquet(f"{self.path}/rows").filter(F.col("_bucket").isin(touched))
+            asked = own.select("_h", *keys).join(matching, "_h")
+            known = asked.join(stored.select(F.col("_bucket").alias("_in"), *keys), ["_in", *keys], "left_semi").select(*keys).distinct()
+            own = cut(own.join(known, keys, "left_anti"))
         layout = Layout(0, self.bucket_seconds, [], [])
         layout.fixed = self.blocks
-        own.select(first.alias("bucket"), F.col("_h").alias("h")).mapInPandas(_partial(layout), "block long, once binary, twice binary").write.mode("append").parquet(f"{self.path}/filters")
         own.drop("_h").write.mode("append").partitionBy("_bucket").parquet(f"{self.path}/rows")
+        marks = own.select((F.col("_bucket").cast("long") * self.blocks).alias("bucket"), F.col("_h").alias("h"))
+        marks.mapInPandas(_partial(layout), "block long, once binary, twice binary").write.mode("append").parquet(f"{self.path}/filters-{generation or 0}")
         return own.drop("_h", "_bucket")
+
+
+def _together(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The partial filters of one block as one."""
+    both = [np.concatenate([np.frombuffer(x, np.uint16) for x in pdf[c]]) for c in ("once", "twice")]
+    cells, seen = np.unique(both[0], return_counts=True)
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "once": [cells.tobytes()], "twice": [np.union1d(cells[seen > 1], both[1]).astype(np.uint16).tobytes()]})

@@ -54,6 +54,9 @@ def test_delivery_store_takes_each_message_once(spark, tmp_path):
     assert store.accept(a).count() == 50
     assert store.accept(a).count() == 0
     assert sorted(r.seq for r in store.accept(b).collect()) == list(range(50, 70))
+    narrow = redelivery.DeliveryStore(store.path, store.keys, store.time, buckets_at_once=2, most_files=0)  # several ranges of buckets, a new generation each time
+    assert narrow.accept(a).count() == 0 and narrow.accept(b).count() == 0
+    assert narrow._generations(spark) == [0, 1, 2]
 
 
 TIMES = st.integers(0, 60)
@@ -194,13 +197,23 @@ def test_differences_of_keys_with_several_rows(spark):
     found = differences.differences(spark.createDataFrame(left, RECORDS), spark.createDataFrame(right, RECORDS), "id", ["a", "b"])
     expected = []
     for k in "1234":
-        sides = [{r: rows.count(r) for r in rows if r[0] == k} for rows in (left, right)]
-        for x, n in sides[0].items():
-            for y, m in sides[1].items():
-                expected += [(k, f, str(x[i]), str(y[i])) for i, f in ((1, "a"), (2, "b")) if x[i] != y[i]] + ([(k, "copies", str(n), str(m))] if x == y and n != m else [])
+        ls, rs = ({r: rows.count(r) for r in rows if r[0] == k} for rows in (left, right))
+        res = [sorted(x for x in own if own[x] > other.get(x, 0)) for own, other in ((ls, rs), (rs, ls))]
+        for i in range(max(map(len, res))):
+            x, y = (r[i] if i < len(r) else None for r in res)
+            if (x or y) in ls and (x or y) in rs:
+                expected.append((k, "copies", str(ls[x or y]), str(rs[x or y])))
+                continue
+            x, y = x or min(ls), y or min(rs)
+            expected += [(k, f, str(x[i]), str(y[i])) for i, f in ((1, "a"), (2, "b")) if x[i] != y[i]]
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
 
 
+def test_differences_of_a_key_held_by_many_rows(spark):
+    sides = [spark.createDataFrame([("1", i * 2 + n, str(n), "q") for i in range(1_000)], RECORDS) for n in (0, 1)]
+    assert differences.differences(*sides, "id", ["a", "b"]).count() == 2_000
+
+
 def test_ranked_counts_on_over_partitions(spark):
     df = spark.createDataFrame([(None if i % 5 == 0 else i % 3, i * 7 % 101) for i in range(500)], "g long, v long")
     rows = ranked(df, ["g"], ["v"]).collect()
