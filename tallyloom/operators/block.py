@@ -41,10 +41,14 @@ def _fits(rule: str, left: dict, rights: tuple, residual: Decimal, limit: Decima
     return gap <= tol.date_days and abs(residual) <= bound
 
 
-def evaluate(lefts: list[dict], rights: list[dict], tol: Tolerance) -> tuple[list[tuple], list[tuple]]:
-    """Matches (left id, right ids, rule, score, residual, gap) and rejects (left id, right id or None, reason)."""
+def evaluate(lefts: list[dict], rights: list[dict], tol: Tolerance, in_block: int | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Matches (left id, right ids, rule, score, residual, gap) and rejects (left id, right id or None, reason).
+
+    ``in_block`` is the number of right records of the whole block where these are only a part of it.
+    """
+    in_block = len(rights) if in_block is None else in_block
     lefts, rights = sorted(lefts, key=lambda r: r["id"]), sorted(rights, key=lambda r: r["id"])
-    large = len(rights) > tol.max_block_candidates
+    large = in_block > tol.max_block_candidates
     used_left: set[str] = set()
     used_right: set[str] = set()
     matches: list[tuple] = []
@@ -75,8 +79,8 @@ def evaluate(lefts: list[dict], rights: list[dict], tol: Tolerance) -> tuple[lis
     for left in lefts:
         if left["id"] in used_left:
             continue
-        if not rights or large:
-            rejects.append((left["id"], None, "BLOCK_TOO_LARGE" if rights else "NO_CANDIDATE"))
+        if not in_block or large:
+            rejects.append((left["id"], None, "BLOCK_TOO_LARGE" if in_block else "NO_CANDIDATE"))
             continue
         near = 0
         for r in rights:

@@ -31,7 +31,7 @@ def values(observations: DataFrame, joins: DataFrame) -> DataFrame:
     own = F.transform("keys", lambda k: F.col("o_keys")[k])
     o = observations.select("source", "seq", "point", "side", F.col("keys").alias("o_keys"))
     ends = joins.select("place", "keys", F.explode(F.array(F.struct(F.lit(True).alias("is_up"), F.col("up_point").alias("point"), F.col("up_side").alias("side")), F.struct(F.lit(False).alias("is_up"), F.col("down_point").alias("point"), F.col("down_side").alias("side")))).alias("e")).select("place", "keys", "e.*")
-    met = o.join(F.broadcast(ends), ["point", "side"])  # joins are declared: tens of rows
+    met = o.join(ends, ["point", "side"])  # declared rows, which Spark broadcasts while they are few
     return met.filter(F.forall(own, lambda v: v.isNotNull())).select("place", F.array_join("keys", "+").alias("key"), F.array_join(own, UNIT).alias("value"), "is_up", "source", "seq")
 
 
@@ -55,13 +55,14 @@ def outcomes(found: DataFrame, most_members: int = 1_000) -> DataFrame:
     return counted.join(ids, ["place", "key", "value"], "left").withColumn("kind", _kind())
 
 
-def links(out: DataFrame) -> DataFrame:
-    return out.filter("kind = 'LINKED'").select("place", "key", "value", F.col("ups")[0]["source"].alias("up_source"), F.col("ups")[0]["seq"].alias("up_seq"), F.col("downs")[0]["source"].alias("down_source"), F.col("downs")[0]["seq"].alias("down_seq"))
+def links(told: DataFrame) -> DataFrame:
+    """The pairs of ``told_apart``."""
+    return told.filter("kind = 'LINKED'").select("place", "key", "value", F.col("up.source").alias("up_source"), F.col("up.seq").alias("up_seq"), F.col("down.source").alias("down_source"), F.col("down.seq").alias("down_seq"))
 
 
-def unlinked(out: DataFrame) -> DataFrame:
-    alone = F.when(F.size("ups") > 0, F.try_element_at("ups", F.lit(1))).otherwise(F.try_element_at("downs", F.lit(1)))
-    return out.filter("kind = 'UNLINKED'").withColumn("o", alone).select("place", "key", "value", "o.source", "o.seq")
+def unlinked(told: DataFrame) -> DataFrame:
+    """The observations of ``told_apart`` whose value nothing else has."""
+    return told.filter("kind = 'UNLINKED'").withColumn("o", F.coalesce("up", "down")).select("place", "key", "value", "o.source", "o.seq")
 
 
 def combined(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -17,14 +17,16 @@ The subset sums of M3 and the pairwise reasons stay within blocks of at most
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.digests import digest, digest_text, short_hash
+from tallyloom.functions.digests import UNIT, digest, digest_text, short_hash
 from tallyloom.operators.ranking import ranked
 from tallyloom.session import cut
 
@@ -93,18 +95,18 @@ def by_reference(left: DataFrame, right: DataFrame, tol: Tolerance) -> DataFrame
 
 def exact(left: DataFrame, right: DataFrame, tol: Tolerance) -> DataFrame:
     """M1: equal amount, date within the window."""
-    l, r = _sides(left, right)  # noqa: E741
     zero = F.lit(Decimal("0.00"))
-    return _candidate(l.join(r, _block() & (F.col("l.amount") == F.col("r.amount")) & (_gap() <= tol.date_days)), RULES[1], score(RULES[1], zero, F.lit(Decimal("0.000000")), _gap(), tol), zero, _gap())
+    return _candidate(_near(left, right, tol, F.col("l.amount") == F.col("r.amount")), RULES[1], score(RULES[1], zero, F.lit(Decimal("0.000000")), _gap(), tol), zero, _gap())
 
 
-def _near(left: DataFrame, right: DataFrame, tol: Tolerance) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, tol: Tolerance, same: Column | None = None) -> DataFrame:
     """Pairs of a block within the date window, met in buckets of the date, so a large block isn't compared whole."""
     width = tol.date_days + 1
     bucket = F.floor(F.unix_date("value_date") / F.lit(width))
     l = left.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))  # noqa: E741
     l, r = _sides(l, right.withColumn("_b", bucket))  # noqa: E741
-    return l.join(r, _block() & (F.col("l._b") == F.col("r._b")) & (_gap() <= tol.date_days))
+    where = _block() & (F.col("l._b") == F.col("r._b")) & (_gap() <= tol.date_days)
+    return l.join(r, where if same is None else where & same)
 
 
 def tolerant(left: DataFrame, right: DataFrame, tol: Tolerance) -> DataFrame:
@@ -137,11 +139,29 @@ def aggregate(left: DataFrame, right: DataFrame, tol: Tolerance) -> DataFrame:
 GENERATORS = {"M0_REFERENCE": by_reference, "M1_EXACT": exact, "M2_TOLERANT": tolerant, "M3_AGGREGATE": aggregate}
 
 
-def take(candidates: DataFrame) -> DataFrame:
-    """The candidates that greedy taking in the order score, left id, right ids accepts, by rounds of dominance."""
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy taking of sorted candidates held by one task."""
+    used_left: set[str] = set()
+    used_right: set[str] = set()
+    for pdf in batches:
+        kept = []
+        for left, rights in zip(pdf["left_id"], pdf["right_ids"]):
+            won = left not in used_left and used_right.isdisjoint(rights)
+            if won:
+                used_left.add(left)
+                used_right.update(rights)
+            kept.append(won)
+        yield pdf[kept]
+
+
+def take(candidates: DataFrame, few: int = 200_000) -> DataFrame:
+    """The candidates that greedy taking in the order score, left id, right ids accepts, by rounds of dominance; the last ``few`` are taken by one task in their order."""
     rest = cut(candidates.withColumn("_key", F.struct((-F.col("score")).alias("s"), "left_id", "right_ids")))
     taken: list[DataFrame] = []
-    while not rest.isEmpty():
+    while (n := rest.count()) > 0:
+        if n <= few:
+            taken.append(rest.repartition(1).sortWithinPartitions("_key").drop("_key").mapInPandas(_in_order, candidates.schema).withColumn("_key", F.lit(None)))
+            break
         best_left = rest.groupBy("left_id").agg(F.min("_key").alias("_best"))
         touched = rest.select("left_id", "_key", F.explode("right_ids").alias("right_id"))
         best_right = touched.groupBy("right_id").agg(F.min("_key").alias("_first"))
@@ -182,8 +202,16 @@ class Outcome:
         return m.unionByName(self.rejects.select("left_id", digest(F.lit("BREAK"), F.col("left_id"), F.col("right_id"), F.col("reason")).alias("fingerprint")))
 
     def result_hash(self) -> str:
-        """Hash of all decisions, whatever their order. They are brought together: for runs whose decisions fit into the driver."""
-        return digest_text(self.ruleset_id, *sorted(r[0] for r in self.fingerprints().select("fingerprint").toLocalIterator()))
+        """Hash of all decisions, whatever their order: that of their sorted fingerprints, from a size on of the hashes of those that begin alike, and so on."""
+        rows = cut(self.fingerprints().select("fingerprint"))
+        n, depth = rows.count(), 0
+        while n > 10_000 * 16**depth:
+            depth += 1
+        while depth > 0:  # groups of some thousand
+            alike = F.substring("fingerprint", 1, depth)
+            rows = rows.groupBy(alike.alias("p")).agg(F.array_join(F.sort_array(F.collect_list("fingerprint")), UNIT).alias("all")).select(F.concat("p", F.sha2("all", 256)).alias("fingerprint"))
+            depth -= 3
+        return digest_text(self.ruleset_id, *sorted(r[0] for r in rows.collect()))
 
 
 def _sized(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:

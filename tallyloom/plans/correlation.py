@@ -62,11 +62,11 @@ def _values(spark: SparkSession, d: str, *keys: str) -> DataFrame:
 
 
 def exact_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.links(links.outcomes(_values(spark, d, "traceparent")))
+    return links.links(links.told_apart(_values(spark, d, "traceparent")))
 
 
 def observed_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.links(links.outcomes(_values(spark, d, "traceparent", "tuple5"))).withColumn("value", F.replace("value", F.lit(links.UNIT), F.lit("|")))
+    return links.links(links.told_apart(_values(spark, d, "traceparent", "tuple5"))).withColumn("value", F.replace("value", F.lit(links.UNIT), F.lit("|")))
 
 
 def exact_collisions(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def exact_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_unlinked(spark: SparkSession, d: str) -> DataFrame:
-    return links.unlinked(links.outcomes(_values(spark, d, "traceparent")))
+    return links.unlinked(links.told_apart(_values(spark, d, "traceparent")))
 
 
 def two_signal_outcome(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _CURRENCY = "CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_custkey % 4 = 1 THEN 'EUR' ELSE 'USD' END"
@@ -33,9 +35,12 @@ DECISIONS = """SELECT CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS
   event_id % 89 = 0 AS forced FROM events"""
 
 
+TABLES = ("orders", "events", "load_gen_rows", "timed_obs", "timed_probe", "flow_decisions")
+
+
 def make(spark: SparkSession, d: str, sql: str) -> DataFrame:
     """The rows of one of these statements over the tables in ``d``."""
-    for name in ("orders", "events"):
-        sql = sql.replace(f"FROM {name}", "FROM {" + name + "}")
-    used = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("orders", "events") if "{" + n + "}" in sql}
+    for name in TABLES:
+        sql = re.sub(rf"FROM {name}\b", "FROM {" + name + "}", sql)
+    used = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in TABLES if "{" + n + "}" in sql}
     return spark.sql(sql, **used)

@@ -15,7 +15,7 @@ from datetime import date
 from decimal import Decimal, InvalidOperation
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAMESPACE = "urn:iso:std:iso:20022:tech:xsd:camt.053.001.08"  # fixed value
@@ -120,7 +120,10 @@ def record_id(*parts: str) -> str:
     return hashlib.sha256(canonical_json(list(parts)).encode()).hexdigest()
 
 
+def identity(adapter: Column, normalizer: Column) -> Column:
+    """Content-addressed: the same entry of the same payload read by the same adapter has the same id."""
+    return F.sha2(F.to_json(F.array("raw_event_id", "locator", adapter, normalizer, "account", "amount_text", F.col("value_date").cast("string"), "currency")), 256)
+
+
 def with_record_ids(records: DataFrame, adapter: str, normalizer: str) -> DataFrame:
-    """Content-addressed ids: the same entry of the same payload read by the same adapter has the same id."""
-    parts = F.array("raw_event_id", "locator", F.lit(adapter), F.lit(normalizer), "account", "amount_text", F.col("value_date").cast("string"), "currency")
-    return records.filter("error is null").withColumn("record_id", F.sha2(F.to_json(parts), 256))
+    return records.filter("error is null").withColumn("record_id", identity(F.lit(adapter), F.lit(normalizer)))

@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 from decimal import Decimal
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,15 +88,15 @@ ENTRIES = st.lists(st.tuples(st.sampled_from(["left", "right"]), st.integers(0,
 @settings(max_examples=60, deadline=None)
 @given(ENTRIES)
 def test_fold_ends_every_record_once(entries):
-    fold, seen = replay.Fold(replay.StreamConfig(Tolerance(date_days=2), lateness_days=1)), set()
+    fold, seen = replay.BlockReplay(replay.StreamConfig(Tolerance(date_days=2), lateness_days=1)), set()
     for pos, (side, i, money, day, ref) in enumerate(entries):
         if (side, i) not in seen:
             seen.add((side, i))
-            fold.arrive(pos, side, {"id": str(i), "amount": Decimal(money), "value_date": date(2026, 1, 1) + timedelta(day), "reference": ref})
+            fold.record(pos, side, {"id": str(i), "amount": Decimal(money), "value_date": date(2026, 1, 1) + timedelta(day), "reference": ref})
     for side in replay.SIDES:
-        fold.advance(99, side, date(2026, 3, 1))
+        fold.progress(99, side, date(2026, 3, 1))
     finals = [d for d in fold.out if d["status"] == "FINAL"]
-    assert sorted((d["side"], d["id"]) for d in finals) == sorted((s, str(i)) for s, i in seen) and not fold.open
+    assert sorted((d["side"], d["id"]) for d in finals) == sorted((s, str(i)) for s, i in seen) and not fold.open.group
     for d in finals:  # a match is final on both sides or on none
         if d["decision_type"] == "MATCH" and d["side"] == "left":
             assert all(any(e["side"] == "right" and e["id"] == r and e["input_ids"] == d["input_ids"] for e in finals) for r in d["input_ids"][1:])
@@ -115,3 +116,97 @@ def test_replay_closes_and_refuses(spark):
     assert last == {("left", "A"): ("FINAL", "M1_EXACT", 3), ("right", "B"): ("FINAL", "AS_COUNTERPART", 3), ("left", "C"): ("FINAL", "LATE", 4)}
     assert replay.with_status(out).filter("status = 'SUPERSEDED'").count() == 3
     assert replay.replay(spark.createDataFrame([], JOURNAL), replay.StreamConfig()).count() == 0
+
+
+def _by_the_book(entries, config):
+    """Decisions of a block, matching all open records anew at every entry, straight from the definition."""
+    tol, open_, told, out, settled, reached = config.tolerance, {}, {}, [], set(), {}
+    horizon = lambda r: r["value_date"] + timedelta(tol.date_days if not r["reference"] or config.reference_horizon_days is None else config.reference_horizon_days)
+    mark = lambda: min(reached.values()) - timedelta(config.lateness_days) if len(reached) == 2 else None
+
+    def tell(key, kind, inputs, reason, final=False, forced=False):
+        told[key] = (kind, inputs, reason)
+        out.append((*key, kind, inputs, reason, final, forced))
+
+    def match_all():
+        sides = {s: {k[1]: r for k, r in open_.items() if k[0] == s} for s in replay.SIDES}
+        matches, rejects = block.evaluate(list(sides["left"].values()), list(sides["right"].values()), tol)
+        now = {k: ("BREAK", [k[1]], block.reason_text({x[2] for x in rejects if k[1] == x[0 if k[0] == "left" else 1] and (x[1] is None or block.days_apart(sides["left"][x[0]], sides["right"][x[1]]) <= tol.date_days)})) for k in open_}
+        for left, rights, rule, *_ in matches:
+            now |= {("left", left): ("MATCH", [left, *rights], rule)} | {("right", r): ("MATCH", [left, *rights], "AS_COUNTERPART") for r in rights}
+        ends = {k: max(horizon(open_[("left" if i == 0 and v[0] == "MATCH" else "right" if v[0] == "MATCH" else k[0], x)]) for i, x in enumerate(v[1])) for k, v in now.items()}
+        for k in sorted(now):
+            if told.get(k) != now[k]:
+                tell(k, *now[k])
+        return ends
+
+    def groups():
+        left, found = set(open_), []
+        while left:
+            group, new = set(), {min(left)}
+            while new:
+                group |= new
+                new = {b for a in new for b in left - group if a[0] != b[0] and (block.days_apart(open_[a], open_[b]) <= tol.date_days or (open_[a]["reference"] and open_[a]["reference"] == open_[b]["reference"]))}
+            left -= group
+            found.append(sorted(group))
+        return found
+
+    ends = {}
+    for kind, side, x in entries:
+        if kind == "arrival":
+            late = mark() is not None and x["value_date"] < mark()
+            if late or (side != "left" and ("left", x["reference"]) in settled) or (side == "left" and ("right", x["reference"]) in settled):
+                tell((side, x["id"]), "BREAK", [x["id"]], "LATE" if late else "REFERENCE_AFTER_FINAL", True)
+                continue
+            open_[side, x["id"]] = x
+        day = x["value_date"] if kind == "arrival" else x
+        reached[side] = max(day, reached.get(side, day))
+        ends = match_all() if kind == "arrival" else ends
+        while mark() is not None:
+            closing = []
+            for g in groups():
+                days = [open_[k]["value_date"] for k in g]
+                if max(horizon(open_[k]) for k in g) < mark():
+                    closing += [(k, False) for k in g]
+                elif config.max_component_days is not None and (max(days) - min(days)).days > config.max_component_days:
+                    closing += [(k, True) for k in g if ends[k] < mark()]
+            if not closing:
+                break
+            for k, forced in closing:
+                tell(k, *told[k], True, forced)
+                r = open_.pop(k)
+                settled |= {(k[0], r["reference"])} if r["reference"] else set()
+            ends = match_all() if open_ else {}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_block_replay_against_the_definition(seed):
+    rng = random.Random(seed)
+    tol = Tolerance(Decimal(rng.choice(["0", "0.5", "1"])), Decimal(0), rng.choice([0, 1, 3]), rng.choice([1, 2, 3]), rng.choice([2, 4, 32]))
+    config = replay.StreamConfig(tol, rng.choice([0, 1, 2]), rng.choice([None, 5, 9]), rng.choice([None, 0, 2, 5]))
+    entries, day = [], 0
+    for pos in range(50):
+        day += rng.choice([0, 0, 0, 1])
+        side = rng.choice(replay.SIDES)
+        if rng.random() < 0.15:
+            entries.append(("progress", side, date(2026, 1, 1) + timedelta(day + rng.randrange(-3, 3))))
+        else:
+            entries.append(("arrival", side, {"id": f"{side[0]}{rng.randrange(1000)}-{pos}", "amount": Decimal(rng.randrange(1, 6)) / 2, "value_date": date(2026, 1, 1) + timedelta(day + rng.randrange(-4, 2)), "reference": rng.choice([None, None, "", "a", "b", f"r{rng.randrange(9)}"])}))
+    own = replay.BlockReplay(config)
+    for pos, (kind, side, x) in enumerate(entries):
+        (own.record if kind == "arrival" else own.progress)(pos, side, x)
+    assert [(d["side"], d["id"], d["decision_type"], d["input_ids"], d["reason"], d["status"] == "FINAL", d["forced"]) for d in own.out] == _by_the_book(entries, config)
+
+
+def test_unknown_entries_are_an_error(spark):
+    with pytest.raises(Exception, match="unknown entry"):
+        replay.replay(spark.createDataFrame([(1, "arival", "left", "A", "x", None, None, None, None, None)], JOURNAL), replay.StreamConfig()).count()
+
+
+def test_taking_in_rounds_equals_taking_in_order(spark):
+    rng = random.Random(4)
+    rows = [("a", "c", f"l{rng.randrange(30)}", [f"r{rng.randrange(30)}"], "M2_TOLERANT", Decimal(rng.randrange(5)) / 10, Decimal(0), 0) for _ in range(200)]
+    df = spark.createDataFrame(rows, "account string, currency string, left_id string, right_ids array<string>, rule string, score decimal(9,6), amount_residual decimal(18,2), date_gap_days int").dropDuplicates(["left_id", "right_ids"])
+    told = [sorted((r.left_id, r.right_ids[0]) for r in matching.take(df, few).collect()) for few in (0, 1_000)]
+    assert told[0] == told[1]
