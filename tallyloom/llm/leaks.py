@@ -4,17 +4,22 @@
 for each word of a shard the documents and positions at which it stands. An item
 is looked for in stretches of ``length`` successive words of which at least
 ``length - 1`` must stand in the text unchanged and in order. Of any two words
-of a stretch one must be there, so the two rarest of it in the shard are its
-anchors: their postings, less the words' offsets in the item, give the places
-at which the item could begin. At each such place the offset-adjusted postings
-of the item's words are intersected, exactly and, for phrases with a word left
-out or split and with words put in, with the same lists up to two places on.
-
-Only postings of words that occur in the items are read for a search; they meet
-by shard. The items are broadcast, which ``search`` refuses beyond a stated size.
+of a stretch one must be there, so its two rarest in the corpus are anchors.
+Anchors meet postings in a join, which sends an item to those shards only that
+hold one of its anchors. There the anchors' postings, less the words' offsets in
+the item, give the places at which the item could begin. At all these places at
+once the offset-adjusted postings of the words around the anchor are counted;
+where enough are left, the lists are intersected in order, exactly and, for
+phrases with a word left out or split and with words put in, with the same
+lists up to two places on.
+
+Items, their anchors and postings meet in shuffles only. Long items are cut into
+pieces that overlap by all but one word of a stretch; where there are many items
+those of a shard are searched in lots.
 
 Defined results: null and empty texts and items give nothing; items of fewer
-than ``length`` words have no case; each (item, document) comes once.
+than ``length`` words have no case; with ``whole`` each item, of any length, is
+one phrase that must stand in the text exactly; each (item, document) comes once.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.text import words
-from tallyloom.session import written
+from tallyloom.session import cut, written
 
 SHARD_WORDS = 400_000
-MOST_ITEM_WORDS = 5_000_000
+PIECE_WORDS = 2_000
+LOT_ITEMS = 20_000
 _PLAY = 2  # how far words of a stretch may stand from where they would without a change
 
 
@@ -84,65 +90,117 @@ class Index:
         narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
         self.postings = written(narrow.mapInPandas(_postings, self.schema))
 
-    def search(self, items: DataFrame, length: int = 12) -> DataFrame:
+    def search(self, items: DataFrame, length: int = 12, whole: bool = False) -> DataFrame:
         """(item_id, doc_id) of the documents that hold a stretch of the item; ``items`` has item_id and text."""
-        size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-        if size > 6 * MOST_ITEM_WORDS:
-            raise ValueError("the items are too large to be sent to every task: search them in parts")
-        sought = [(i, own) for i, text in sorted((r["item_id"], r["text"]) for r in items.select("item_id", "text").filter("item_id is not null and text is not null").collect()) if len(own := words(text)) >= length]
-        vocabulary = sorted({w for _, own in sought for w in own})
-        spark = items.sparkSession
-        wanted = spark.createDataFrame(pd.DataFrame({"term": ["", *vocabulary]}), "term string")
-        found = self.postings.join(F.broadcast(wanted), "term", "left_semi")
-        return found.groupBy("shard").applyInPandas(_searcher(spark.sparkContext.broadcast((sought, vocabulary)), length), "item_id long, doc_id long")
-
-
-def _searcher(shared, length: int):
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        sought, vocabulary = shared.value
-        code = {w: i for i, w in enumerate(vocabulary)}
-        head = pdf[pdf["term"] == ""].iloc[0]
-        ids, sizes = np.frombuffer(head["docs"], np.int64), np.frombuffer(head["places"], np.int32).astype(np.int64)
-        pad = 4  # places between documents at which no word stands
-        begins = np.cumsum(sizes + pad) - sizes
-        stands = np.full(int((sizes + pad).sum()) + pad, -1, np.int32)
-        postings: dict[int, np.ndarray] = {}
-        for term, docs, places in zip(pdf["term"], pdf["docs"], pdf["places"]):
-            if term:
-                at = begins[np.frombuffer(docs, np.int32)] + np.frombuffer(places, np.int32)
-                postings[code[term]] = at
-                stands[at] = code[term]
-        seen = np.zeros(len(vocabulary), np.int64)
-        for c, at in postings.items():
-            seen[c] = len(at)
-        pairs = []
-        for item_id, own in sought:
-            item = np.fromiter((code[w] for w in own), np.int32, len(own))
-            starts = _starts(item, seen[item], postings, length)
-            if not len(starts):
+        told = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
+        pieces = cut(told.mapInPandas(_pieces(length, whole), "item_id long, piece int, words array<string>"))
+        lots = -(-pieces.count() // LOT_ITEMS)
+        found = self.postings.filter("term <> ''").join(pieces.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
+        found = cut(found)
+        frequency = found.groupBy("term").agg(F.sum("n").alias("f"))
+        each = pieces.select("item_id", "piece", F.posexplode("words").alias("at", "term")).join(frequency, "term", "left")
+        rare = each.groupBy("item_id", "piece").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("f", F.lit(0)).alias("f")))), lambda x: x["f"]).alias("f"))
+        anchored = pieces.join(rare, ["item_id", "piece"]).withColumn("at", F.explode(_anchors(length, whole)("f")))
+        sought = anchored.select("item_id", "piece", "at", F.col("words")[F.col("at")].alias("term")).join(found.select("shard", "term"), "term")
+        sought = sought.groupBy("shard", "item_id", "piece").agg(F.collect_list("at").alias("anchors"))
+        sought = sought.join(pieces, ["item_id", "piece"]).withColumn("lot", F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(1, lots))).cast("int"))
+        sought = cut(sought)
+        asked = sought.select("shard", F.col("lot").alias("part")).distinct()
+        held = found.unionByName(self.postings.filter("term = ''")).join(asked, "shard")
+        pairs = held.groupBy("shard", "part").cogroup(sought.groupBy("shard", "lot")).applyInPandas(_searcher(length, whole), "item_id long, doc_id long")
+        return pairs.distinct()
+
+
+def _pieces(length: int, whole: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for item_id, text in zip(pdf["item_id"], pdf["text"]):
+                own = words(text)
+                if whole and own:
+                    rows.append((item_id, 0, own))
+                elif not whole and len(own) >= length:
+                    rows += [(item_id, i, own[low : low + PIECE_WORDS]) for i, low in enumerate(range(0, len(own) - length + 1, PIECE_WORDS - length + 1))]
+            yield pd.DataFrame(rows, columns=["item_id", "piece", "words"])
+
+    return run
+
+
+def _anchors(length: int, whole: bool):
+    """Offsets of the two rarest words of each stretch (of the rarest one of a whole phrase) where one of them is in the corpus."""
+
+    @F.pandas_udf("array<int>")
+    def run(frequencies: pd.Series) -> pd.Series:
+        out = []
+        for f in frequencies:
+            seen = np.asarray(f, np.int64)
+            if whole:
+                out.append([int(seen.argmin())] if seen.all() else [])
                 continue
-            doc = np.searchsorted(begins, starts[:, 1], side="right") - 1
-            done: set[int] = set()
-            for d, start in zip(doc, starts[:, 0]):
-                if d not in done and _holds(item, stands, int(start), int(begins[d]), int(begins[d] + sizes[d]), length):
-                    done.add(d)
-            pairs += [(item_id, int(ids[d])) for d in sorted(done)]
-        return pd.DataFrame(pairs, columns=["item_id", "doc_id"])
+            windows = np.lib.stride_tricks.sliding_window_view(seen, length)
+            two = np.argpartition(windows, 1, axis=1)[:, :2] + np.arange(len(windows))[:, None]
+            at = np.unique(two[(seen[two] > 0).any(axis=1)])
+            out.append(at[seen[at] > 0].tolist())
+        return pd.Series(out)
+
+    return run
+
+
+def _searcher(length: int, whole: bool):
+    def search(held: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
+        pairs: set[tuple[int, int]] = set()
+        if len(held) and len(sought):
+            code = {w: i for i, w in enumerate(held["term"])}
+            head = held[held["term"] == ""].iloc[0]
+            ids, sizes = np.frombuffer(head["docs"], np.int64), np.frombuffer(head["places"], np.int32).astype(np.int64)
+            pad = 2 * length  # places around documents at which no word stands
+            begins = np.cumsum(sizes + pad) - sizes
+            stands = np.full(int((sizes + pad).sum()) + pad, -1, np.int32)
+            postings: dict[int, np.ndarray] = {}
+            for term, docs, places in zip(held["term"], held["docs"], held["places"]):
+                if term:
+                    at = begins[np.frombuffer(docs, np.int32)] + np.frombuffer(places, np.int32)
+                    postings[code[term]] = at
+                    stands[at] = code[term]
+            for item_id, anchors, own in zip(sought["item_id"], sought["anchors"], sought["words"]):
+                item = np.fromiter((code.get(w, -2) for w in own), np.int32, len(own))
+                if whole:
+                    places = postings[item[anchors[0]]] - anchors[0]
+                    for k, c in enumerate(item):  # the list of each word, less its offset, keeps what it shares with those before
+                        places = places[(places >= 0) & (places + k < len(stands))]
+                        places = places[stands[places + k] == c]
+                    doc = np.searchsorted(begins, places, side="right") - 1
+                    pairs.update((item_id, int(ids[d])) for d in np.unique(doc))
+                    continue
+                starts = _starts(item, np.asarray(anchors), postings, stands, length)
+                doc = np.searchsorted(begins, starts[:, 1], side="right") - 1
+                done: set[int] = set()
+                for d, start in zip(doc, starts[:, 0]):
+                    if d not in done and _holds(item, stands, int(start), int(begins[d]), int(begins[d] + sizes[d]), length):
+                        done.add(d)
+                pairs.update((item_id, int(ids[d])) for d in done)
+        return pd.DataFrame(sorted(pairs), columns=["item_id", "doc_id"])
 
     return search
 
 
-def _starts(item: np.ndarray, seen: np.ndarray, postings: dict[int, np.ndarray], length: int) -> np.ndarray:
-    """Places at which the item could begin and a place of it that is in the text, from the anchors' postings."""
-    windows = np.lib.stride_tricks.sliding_window_view(seen, length)
-    two = np.argpartition(windows, 1, axis=1)[:, :2] + np.arange(len(windows))[:, None]
-    hopeless = (seen[two] == 0).all(axis=1)
-    anchors = np.unique(two[~hopeless])
-    lists = [np.stack([postings[item[a]] - a, postings[item[a]]], axis=1) for a in anchors if seen[a]]
-    if not lists:
-        return np.empty((0, 2), np.int64)
-    both = np.concatenate(lists)
-    return both[np.unique(both, axis=0, return_index=True)[1]]
+def _starts(item: np.ndarray, anchors: np.ndarray, postings: dict[int, np.ndarray], stands: np.ndarray, length: int) -> np.ndarray:
+    """Places at which the item could begin and a place of it that is in the text: those of the anchors' postings around which enough words of a stretch stand."""
+    lists = [(np.full(len(postings[item[a]]), a), postings[item[a]]) for a in anchors]
+    offset, place = (np.concatenate(x) for x in zip(*lists))
+    around = np.arange(1 - length, length)
+    wide = np.r_[np.full(length, -2, np.int32), item, np.full(length, -2, np.int32)]
+    out = []
+    for low in range(0, len(place), 4096):
+        o, p = offset[low : low + 4096], place[low : low + 4096]
+        wanted = wide[o[:, None] + around + length]
+        hits = np.zeros(wanted.shape, bool)
+        for move in range(-_PLAY, _PLAY + 1):
+            hits |= stands[np.clip(p[:, None] + around + move, 0, len(stands) - 1)] == wanted
+        sums = np.cumsum(np.c_[np.zeros(len(p), np.int8), hits], axis=1, dtype=np.int8)
+        some = (sums[:, length:] - sums[:, :-length]).max(axis=1) >= length - 1
+        out.append(np.stack([p[some] - o[some], p[some]], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _holds(item: np.ndarray, stands: np.ndarray, start: int, low: int, high: int, length: int) -> bool:

@@ -63,6 +63,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.Index(table(spark, d, "documents")).search(items)
 
 
+def p9_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose whole question stands in a document word by word, in letters and digits of the Latin alphabet only."""
+    simple = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    items = table(spark, d, "eval_items").select("item_id", simple("question").alias("text"))
+    return leaks.Index(table(spark, d, "documents").select("doc_id", simple("text").alias("text"))).search(items, whole=True)
+
+
 MOST_SAMPLES = 3_000
 
 
@@ -89,7 +96,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found, p8_packs, p8_fill, p9_found, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found, p8_packs, p8_fill, p9_found, p9_questions, p10_found, p10_scores, p10_rates)}
 
 
 _NEAREST = """
@@ -122,5 +129,11 @@ SELECT min({'source': s2, 'seq': q2}).source AS group_source, min({'source': s2,
 """
 
 
+_QUESTIONS = """
+WITH i AS (SELECT item_id, trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) AS q FROM eval_items), t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)
+SELECT DISTINCT item_id, doc_id FROM i JOIN t ON q <> '' AND contains(' ' || t || ' ', ' ' || q || ' ')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _NEAREST, "p4_percentiles": _PERCENTILES, "p4_combined_days": _PERCENTILES, "p7_found": _GROUPED}
+    return {"p9_questions": _QUESTIONS, "p2_found": _NEAREST, "p4_percentiles": _PERCENTILES, "p4_combined_days": _PERCENTILES, "p7_found": _GROUPED}
