@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.digests import digest
 from tallyloom.operators.matching import take
 from tallyloom.operators.ranking import ranked
+from tallyloom.operators.runs import order_statistics
 
 
 def no_trace(trace: Column) -> Column:
@@ -45,13 +46,16 @@ def bucket_match(left: DataFrame, right: DataFrame, measure: str, most: Column,
     return _nearest_pairs(pairs, measure, most)
 
 
-def window_match(left: DataFrame, right: DataFrame, measure: str, most: Column, reach: int) -> DataFrame:
-    """Greedy pairs among left rows and the right rows up to ``reach`` ranks away, joined by buckets of ranks."""
+def window_match(left: DataFrame, right: DataFrame, measure: str, most: Column, reach: int, by: list[str] = ()) -> DataFrame:
+    """Greedy pairs among left rows and the right rows of the same ``by`` up to ``reach`` ranks away, joined by buckets of ranks."""
     width = 2 * reach + 1
     low = F.floor((F.col("rank") - reach) / width)
     l = left.withColumn("b", F.explode(F.array(low, low + 1))).alias("l")  # noqa: E741
     r = right.withColumn("b", F.floor(F.col("rank") / width)).alias("r")
-    pairs = l.join(r, (F.col("l.b") == F.col("r.b")) & (F.abs(F.col("l.rank") - F.col("r.rank")) <= reach))
+    same = (F.col("l.b") == F.col("r.b")) & (F.abs(F.col("l.rank") - F.col("r.rank")) <= reach)
+    for c in by:
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    pairs = l.join(r, same)
     return _nearest_pairs(pairs, measure, most)
 
 
@@ -78,12 +82,9 @@ def rate_of(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).withColumn("rate", F.col("hits") / F.col("n"))
 
 
-def floor_index(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+def floor_index(df: DataFrame, by: list[str], value: str, quantiles: dict[str, str]) -> DataFrame:
     """Order statistics at index floor(p n), capped at the last, in groups of any size."""
-    n = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
-    placed = ranked(df.filter(F.col(value).isNotNull()).select(*by, value), by, [value]).join(n, by)
-    at = {name: F.max(F.when(F.col("rank") == F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1), F.col(value))).alias(name) for name, p in quantiles.items()}
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *at.values())
+    return order_statistics(df, by, value, {name: ("floor", p) for name, p in quantiles.items()})
 
 
 def freezes(df: DataFrame, delay_us: Column, released_ns: Column, by: list[str], least_us: int = 20_000, least_n: int = 10) -> DataFrame:

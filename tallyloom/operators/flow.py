@@ -11,21 +11,24 @@ one super-component, so each of these is folded by itself in the order of the
 journal: late entries are final at once; a group closes when the watermark has
 passed its latest event by more than the window; an entry on time that carries
 an authored value of a closed group is told as such and links to nothing.
-Members of a closed group get their outcome from all of the group: linked,
-collided or unlinked by each signal, and what two signals say together.
+Every entry tells what it changes, as a provisional step of a chain of
+decisions; a closing group's last steps become final, with a proof over its
+observations and decisions. What a value gives depends on who holds it on either
+side, so an entry concerns the holders of its values only; a value with over
+``max_collision_members`` collides whoever joins, and names no partners.
 
-A super-component is one task, also where a value is held by very many
-observations: whether these collide is a matter of who is there at the same
-time, as a connection may come back in a later group. Its fold takes n log n
-steps. Collisions of over ``max_collision_members`` name no partners.
+A super-component is one task, as it is a sequence by its meaning, but it streams
+through it: open observations are held, and the authored values that are closed.
+
+Links by time (``timed``) wait for the end of the journal: as a journal's bounded
+wait is made to decide as all observations at once would, they are decided at once.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable
+import json
+from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,10 +36,36 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.digests import UNIT, digest_text
 from tallyloom.operators.late_events import carried_clocks, in_stretches
-from tallyloom.operators.timing import components
-from tallyloom.session import cut
-
-SCHEMA = "flow_id string, place string, source string, seq long, kind string, key string, value string, partners array<struct<source:string,seq:long>>, evidence string, corroboration string, status string, forced boolean, decision_id string"
+from tallyloom.operators.timing import JoinParams, components, timed_links
+from tallyloom.session import cut, partitions
+
+IDENTITY = "struct<source:string,seq:long>"
+SCHEMA = f"flow_id string, place string, source string, seq long, chain_version int, status string, kind string, key string, value string, partners array<{IDENTITY}>, evidence string, corroboration string, missing_on array<{IDENTITY}>, forced boolean, supersedes string, decision_id string, pos long, dossier string"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+KINDS = ("seen", "advance")
+
+
+def checked(journal: DataFrame, config: DataFrame) -> DataFrame:
+    """The journal's entries (flow_id, pos, kind, source, seq, at_us, start_us, end_us, until_us); one of an unknown kind, of an undeclared source or with times that can't be is an error."""
+    wrong = refused(journal, config)
+    told = F.raise_error(F.concat(F.lit("entry "), F.col("pos").cast("string"), F.lit(" of "), F.coalesce("flow_id", F.lit("no flow")), F.lit(": "), F.col("refusal")))
+    return wrong.withColumn("kind", F.when(F.col("refusal").isNull(), F.col("kind")).otherwise(told)).select(*journal.columns)
+
+
+def refused(journal: DataFrame, config: DataFrame) -> DataFrame:
+    """The entries with ``refusal``, what is wrong with them first of all, null where nothing is."""
+    declared = config.select("flow_id", F.array_distinct("sources").alias("_sources")).dropDuplicates(["flow_id"])
+    seen, start, end = F.col("kind") == "seen", F.col("start_us"), F.col("end_us")
+    reason = (
+        F.when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "unknown kind")
+        .when(~F.coalesce(F.array_contains("_sources", F.col("source")), F.lit(False)), "undeclared source")
+        .when(~seen & F.col("until_us").isNull(), "no time")
+        .when(seen & start.isNull() & end.isNull() & F.col("at_us").isNull(), "no time")
+        .when(seen & (start.isNull() != end.isNull()), "start and end are given together, or not at all")
+        .when(seen & (end < start), "ends before it starts")
+        .when(seen & end.isNotNull() & ~F.col("at_us").eqNullSafe(end), "happens at its end if it is timed")
+    )
+    return journal.join(declared, "flow_id", "left").withColumn("refusal", reason).drop("_sources")
 
 
 def timeline(journal: DataFrame, config: DataFrame, stretch: int = 50_000) -> DataFrame:
@@ -73,65 +102,27 @@ def _mark(clocks: dict[str, int | None], first_at: int | None, lateness: int, si
     return min(holding) - lateness, len(holding) < len(reached)
 
 
-def _outcomes(members: list[dict], joins: list[dict], most: int) -> dict[tuple, tuple]:
-    """(place, signal) -> identity -> (kind, key, value, partners) of one closed group."""
-    out: dict[tuple, tuple] = {}
-    for j in joins:
-        sides: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for m in members:
-            own = [m["keys"].get(k) for k in j["keys"]]
-            end = 0 if (m["point"], m["side"]) == (j["up_point"], j["up_side"]) else 1 if (m["point"], m["side"]) == (j["down_point"], j["down_side"]) else None
-            if end is not None and None not in own:
-                sides[UNIT.join(own)][end].append(m["identity"])
-        for value, (ups, downs) in sides.items():
-            key = "+".join(j["keys"])
-            for own, other in ((ups, downs), (downs, ups)):
-                for identity in own:
-                    if len(ups) > 1 or len(downs) > 1:
-                        kind, partners = "COLLIDED", sorted(other) if j["authored"] and len(ups) + len(downs) <= most else []
-                    else:
-                        kind, partners = ("LINKED", other) if other else ("UNLINKED", [])
-                    out[j["place"], j["authored"], identity] = (kind, key, value, partners)
-    return out
-
-
-def _together(first: tuple | None, second: tuple | None, has_first, has_second, identity) -> tuple:
-    """kind, key, value, partners, evidence, corroboration of two signals."""
-    for o in (first, second):
-        if o is not None and o[0] == "COLLIDED":
-            return (*o, None, None)
-    linked = [o for o in (first, second) if o is not None and o[0] == "LINKED"]
+def _together(first: tuple | None, second: tuple | None, lacking) -> tuple:
+    """kind, key, value, partners, evidence, corroboration and who lacks a signal, from what two signals tell of an observation."""
+    known = [o for o in (first, second) if o is not None]
+    if any(o[0] == "COLLIDED" for o in known):
+        return (*next(o for o in known if o[0] == "COLLIDED"), None, None, [])
+    linked = [o for o in known if o[0] == "LINKED"]
+    if not linked:
+        return (*known[0], None, None, [])
+    one = linked[0]
     if len(linked) == 2:
         if first[3] == second[3]:
-            return (*first, "AUTHORED", "CORROBORATED")
-        return ("CONFLICTED", *first[1:3], sorted({*first[3], *second[3]}), None, "SIGNAL_OTHER_PARTNER")
-    if linked:
-        pair = [identity, *linked[0][3]]
-        other = has_second if linked[0] is first else has_first
-        if not all(map(other, pair)):
-            return (*linked[0], "AUTHORED" if linked[0] is first else "OBSERVED", "SIGNAL_ABSENT")
-        return ("CONFLICTED", *linked[0][1:], None, "SIGNAL_UNMATCHED")
-    return (*(first or second), None, None)
-
-
-def _settled(members: list[dict], joins: list[dict], most: int) -> list[tuple]:
-    found = _outcomes(members, joins, most)
-    signals = defaultdict(set)
-    for j in joins:
-        signals[j["place"]].add(j["authored"])
-    out = []
-    for place, identity in sorted({(p, i) for p, _, i in found}):
-        a, b = found.get((place, True, identity)), found.get((place, False, identity))
-        if len(signals[place]) == 2:
-            told = _together(a, b, lambda i: (place, True, i) in found, lambda i: (place, False, i) in found, identity)  # noqa: B023
-        else:
-            told = (*(a or b), ("AUTHORED" if a else "OBSERVED") if (a or b)[0] == "LINKED" else None, None)
-        out.append((place, identity, *told))
-    return out
+            return (*first, "AUTHORED", "CORROBORATED", [])
+        return ("CONFLICTED", *first[1:3], sorted({*first[3], *second[3]}), None, "SIGNAL_OTHER_PARTNER", [])
+    missing = lacking(one is first, one[3])
+    if missing:
+        return (*one, "AUTHORED" if one is first else "OBSERVED", "SIGNAL_ABSENT", missing)
+    return ("CONFLICTED", *one[1:], None, "SIGNAL_UNMATCHED", [])
 
 
 def replay(seen: DataFrame, marks: DataFrame, config: DataFrame, joins: DataFrame, max_collision_members: int = 8) -> DataFrame:
-    """Final decisions, and provisional ones for what is still open at the end of the journal.
+    """All steps of all decisions: provisional ones as entries come in, final ones as groups close.
 
     ``seen``: flow_id, pos, source, seq, point, side, keys, time, one row for each observation (its first delivery).
     ``joins``: place, keys, authored, up_point, up_side, down_point, down_side; tens of rows.
@@ -149,77 +140,203 @@ def replay(seen: DataFrame, marks: DataFrame, config: DataFrame, joins: DataFram
     rows = rows.join(marks.select("flow_id", "pos", "mark_before", "forced"), ["flow_id", "pos"], "left").join(end, "flow_id", "left").join(config.select("flow_id", "window_us").dropDuplicates(["flow_id"]), "flow_id", "left")
     rows = rows.select("component", "flow_id", "pos", "source", "seq", "point", "side", F.to_json("keys").alias("keys"), "time", F.col("mark_before").cast("string").alias("mark_before"), F.col("end.mark").cast("string").alias("end_mark"), F.col("forced"), F.col("window_us").cast("string").alias("window_us"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        pdf = pdf.sort_values(["component", "pos"])
-        records = (dict(zip(pdf.columns, r)) for r in zip(*[pdf[c] for c in pdf.columns]))
-        for _, part in groupby(records, lambda r: r["component"]):
-            out += _fold(part, declared, max_collision_members)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(4096))).groupBy("lot").applyInPandas(run, SCHEMA)
-
-
-def _fold(rows: Iterable[dict], joins: list[dict], most: int) -> list[tuple]:
-    """Decisions of one super-component, its rows in the order of the journal."""
-    import json
-
-    out: list[tuple] = []
-    owner: dict[tuple[str, str], dict] = {}  # an open holder of each value
-    pending: list[tuple[int, int, dict]] = []  # the latest member of an open group is always in it
-    closed: set[tuple[str, str]] = set()
-    authored = {j["keys"][0] for j in joins if j["authored"]}
-    window, end = 0, None
-
-    def tell(m: dict, place: str, kind: str, key=None, value=None, partners=(), evidence=None, corroboration=None, status="FINAL", forced=False) -> None:
-        content = digest_text(kind, key or "", value or "", *[f"{s}{UNIT}{q}" for s, q in partners], *(["corroboration", corroboration] if corroboration else []))
-        own = digest_text(place, m["source"], str(m["seq"]), content, "FORCED" if forced else status)
-        out.append((m["flow_id"], place, m["source"], m["seq"], kind, key, value, [{"source": s, "seq": q} for s, q in partners], evidence, corroboration, status, forced, own))
-
-    def wait(m: dict) -> None:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: _Component | None = None
+        for pdf in batches:
+            out: list[tuple] = []
+            for r in (dict(zip(pdf.columns, x)) for x in zip(*[pdf[c] for c in pdf.columns])):
+                if own is None or r["component"] != own.name:
+                    out += own.ended() if own else []
+                    own = _Component(r, declared, max_collision_members)
+                own.take(r)
+                out += own.told()
+            yield pd.DataFrame(out, columns=COLUMNS)
+        if own is not None:
+            yield pd.DataFrame(own.ended(), columns=COLUMNS)
+
+    return rows.repartition(partitions(seen.sparkSession), "component").sortWithinPartitions("component", "pos").mapInPandas(run, SCHEMA)
+
+
+def in_effect(decisions: DataFrame) -> DataFrame:
+    """The last decision of each chain."""
+    return decisions.groupBy("flow_id", "place", "source", "seq").agg(F.max_by(F.struct(*decisions.columns), "chain_version").alias("d")).select("d.*")
+
+
+def proofs(decisions: DataFrame) -> DataFrame:
+    """One row for each closed group: dossier, its observations and final decisions, and whether a silent source forced it."""
+    final = decisions.filter("dossier is not null")
+    return final.groupBy("flow_id", "dossier").agg(F.count_distinct("source", "seq").alias("observations"), F.count("*").alias("decisions"), F.bool_or("forced").alias("forced"))
+
+
+class _Component:
+    """One super-component, its rows taken in the order of the journal."""
+
+    def __init__(self, first: dict, joins: list[dict], most: int) -> None:
+        self.name, self.joins, self.most, self.rows = first["component"], joins, most, 0
+        self.window = int(first["window_us"]) if isinstance(first["window_us"], str) else 0
+        self.end = int(first["end_mark"]) if isinstance(first["end_mark"], str) else None
+        self.authored = {j["keys"][0] for j in joins if j["authored"]}
+        self.signals: dict[str, dict[bool, int]] = {}
+        for i, j in enumerate(joins):
+            self.signals.setdefault(j["place"], {})[bool(j["authored"])] = i
+        self.members: dict[tuple, dict] = {}  # the open observations
+        self.held: dict[tuple[int, str], tuple[dict, dict]] = {}  # who holds a join's value on its upper and on its lower end
+        self.owner: dict[tuple[str, str], dict] = {}  # an open holder of each value
+        self.pending: list[tuple[int, int, dict]] = []  # the latest member of an open group is always in it
+        self.closed: set[tuple[str, str]] = set()
+        self.last: dict[tuple, tuple] = {}  # version, decision id and content of each open chain
+        self.out: list[tuple] = []
+
+    def told(self) -> list[tuple]:
+        out, self.out = self.out, []
+        return out
+
+    def ended(self) -> list[tuple]:
+        self.settle(self.end, False)
+        return self.told()
+
+    def take(self, r: dict) -> None:
+        mark = int(r["mark_before"]) if isinstance(r["mark_before"], str) else None
+        self.settle(mark, bool(r["forced"]))
+        keys = json.loads(r["keys"] or "{}")
+        values = {("+".join(j["keys"]), UNIT.join(keys[k] for k in j["keys"])) for j in self.joins if all(keys.get(k) is not None for k in j["keys"])}
+        m = r | {"keys": keys, "identity": (r["source"], r["seq"]), "values": values, "own": {}}
+        self.rows += 1
+        if mark is not None and m["time"] < mark:
+            self.decide(m, "", ("LATE", None, None, [], None, None, []), "FINAL")
+            return
+        again = sorted((k, keys[k]) for k in self.authored & set(keys) if (k, keys[k]) in self.closed)
+        if again:
+            self.decide(m, "", ("VALUE_AFTER_FINAL", *again[0], [], None, None, []), "FINAL")
+            return
+        self.members[m["identity"]] = m
+        self.join_group(m)
+        concerned = set()
+        for i, j in enumerate(self.joins):
+            own = [keys.get(k) for k in j["keys"]]
+            end = 0 if (m["point"], m["side"]) == (j["up_point"], j["up_side"]) else 1 if (m["point"], m["side"]) == (j["down_point"], j["down_side"]) else None
+            if end is None or None in own:
+                continue
+            value = UNIT.join(own)
+            sides = self.held.setdefault((i, value), ({}, {}))
+            sides[end][m["identity"]] = None
+            m["own"][i] = (value, end)
+            few = len(sides[0]) + len(sides[1]) <= self.most + 1  # one more than named: these learn that they are many
+            concerned |= {(j["place"], x) for x in ((*sides[0], *sides[1]) if few else (m["identity"],))}
+        for place, identity in sorted(concerned):
+            self.decide(self.members[identity], place, self.proposal(place, identity), "PROVISIONAL", pos=m["pos"])
+
+    def join_group(self, m: dict) -> None:
         m["group"] = {"members": [m], "last": m["time"]}
         for v in m["values"]:
-            less, more = sorted((m["group"], owner.setdefault(v, m)["group"]), key=lambda g: len(g["members"]))
+            less, more = sorted((m["group"], self.owner.setdefault(v, m)["group"]), key=lambda g: len(g["members"]))
             if less is not more:
                 more["last"] = max(less["last"], more["last"])
                 more["members"] += less["members"]
                 for x in less["members"]:
                     x["group"] = more
-        heappush(pending, (m["time"], m["n"], m))
-
-    def told(group: dict, **how) -> None:
-        at = {m["identity"]: m for m in group["members"]}
-        for place, identity, *what in _settled(group["members"], joins, most):
-            tell(at[identity], place, *what, **how)
-
-    def settle(mark: int | None, forced: bool) -> None:
-        while mark is not None and pending and pending[0][0] + window < mark:
-            group = heappop(pending)[-1]["group"]
-            if group is not None and group["last"] + window < mark:
-                told(group, forced=forced)
-                for m in group["members"]:
-                    closed.update((k, m["keys"][k]) for k in authored & set(m["keys"]))
-                    for v in m["values"]:
-                        owner.pop(v, None)
-                    m["group"] = None
-
-    for n, r in enumerate(rows):
-        if not n:
-            window = int(r["window_us"]) if isinstance(r["window_us"], str) else 0
-            end = int(r["end_mark"]) if isinstance(r["end_mark"], str) else None
-        mark = int(r["mark_before"]) if isinstance(r["mark_before"], str) else None
-        settle(mark, bool(r["forced"]))
-        m = r | {"keys": json.loads(r["keys"] or "{}"), "identity": (r["source"], r["seq"]), "n": n}
-        m["values"] = {("+".join(j["keys"]), UNIT.join(m["keys"][k] for k in j["keys"])) for j in joins if all(m["keys"].get(k) is not None for k in j["keys"])}
-        if mark is not None and m["time"] < mark:
-            tell(m, "", "LATE")
-            continue
-        again = sorted((k, m["keys"][k]) for k in authored & set(m["keys"]) if (k, m["keys"][k]) in closed)
-        if again:
-            tell(m, "", "VALUE_AFTER_FINAL", *again[0])
-            continue
-        wait(m)
-    settle(end, False)
-    for group in {id(m["group"]): m["group"] for *_, m in pending if m["group"] is not None}.values():
-        told(group, status="PROVISIONAL")
+        heappush(self.pending, (m["time"], self.rows, m))
+
+    def outcome(self, i: int, identity: tuple) -> tuple | None:
+        """kind, key, value and partners by one join; none without its value or away from its ends."""
+        own = self.members[identity]["own"].get(i)
+        if own is None:
+            return None
+        value, end = own
+        sides, j = self.held[i, value], self.joins[i]
+        key, many = "+".join(j["keys"]), len(sides[0]) + len(sides[1]) > self.most
+        if max(map(len, sides)) > 1:
+            return "COLLIDED", key, value, sorted(sides[1 - end]) if j["authored"] and not many else []
+        return ("LINKED" if sides[1 - end] else "UNLINKED"), key, value, list(sides[1 - end])
+
+    def proposal(self, place: str, identity: tuple) -> tuple:
+        signals = self.signals[place]
+        first, second = (self.outcome(signals[a], identity) if a in signals else None for a in (True, False))
+        if len(signals) == 2:
+            return _together(first, second, lambda authored, partners: sorted(x for x in (identity, *partners) if signals[not authored] not in self.members[x]["own"]))
+        one = first or second
+        return (*one, ("AUTHORED" if first else "OBSERVED") if one[0] == "LINKED" else None, None, [])
+
+    def decide(self, m: dict, place: str, told: tuple, status: str, forced: bool = False, pos: int | None = None) -> int | None:
+        """Tells a step of a chain, unless it is provisional and changes nothing; its place in what is told."""
+        kind, key, value, partners, evidence, corroboration, missing = told
+        content = digest_text(kind, key or "", value or "", *[f"{s}{UNIT}{q}" for s, q in partners], *(["corroboration", corroboration] if corroboration else []))
+        version, before, same = self.last.get((place, m["identity"]), (0, None, None))
+        if status == "PROVISIONAL" and same == content:
+            return None
+        own = digest_text(place, m["source"], str(m["seq"]), *((str(version + 1), content) if status == "PROVISIONAL" else (content, "FORCED" if forced else status)))
+        self.last[place, m["identity"]] = (version + 1, own, content)
+        named = [[{"source": s, "seq": q} for s, q in x] for x in (partners, missing)]
+        self.out.append((m["flow_id"], place, m["source"], m["seq"], version + 1, status, kind, key, value, named[0], evidence, corroboration, named[1], forced, before, own, m["pos"] if pos is None else pos, None))
+        if not place:
+            del self.last[place, m["identity"]]
+        return len(self.out) - 1
+
+    def settle(self, mark: int | None, forced: bool) -> None:
+        while mark is not None and self.pending and self.pending[0][0] + self.window < mark:
+            group = heappop(self.pending)[-1]["group"]
+            if group is not None and group["last"] + self.window < mark:
+                self.close(group, forced)
+
+    def close(self, group: dict, forced: bool) -> None:
+        ends = sorted({(self.joins[i]["place"], m["identity"]) for m in group["members"] for i in m["own"]})
+        told = [self.decide(self.members[identity], place, self.proposal(place, identity), "FINAL", forced) for place, identity in ends]
+        proof = digest_text("dossier", *sorted(f"{s}{UNIT}{q}" for s, q in (m["identity"] for m in group["members"])), *sorted(self.out[i][COLUMNS.index("decision_id")] for i in told))
+        for i in told:
+            self.out[i] = (*self.out[i][:-1], proof)
+        for end in ends:
+            self.last.pop(end, None)
+        for m in group["members"]:
+            for i, (value, end) in m["own"].items():
+                sides = self.held[i, value]
+                sides[end].pop(m["identity"], None)
+                if not any(sides):
+                    del self.held[i, value]
+            self.closed.update((k, m["keys"][k]) for k in self.authored & set(m["keys"]))
+            for v in m["values"]:
+                self.owner.pop(v, None)
+            m["group"] = None
+            del self.members[m["identity"]]
+
+
+def _check_timed(params: dict[str, JoinParams], max_duration_us: int | None) -> None:
+    for place, p in params.items():
+        names = [s.name for s in p.signals]
+        if "end" not in names:
+            raise ValueError(f"{place}: a join in a flow needs an end signal")
+        if p.local_span_us and max_duration_us is None:
+            raise ValueError(f"{place}: the density guard needs a bound on durations")
+        if p.local_span_us and names[0] == "duration":
+            raise ValueError(f"{place}: the density guard needs a first signal in time")
+
+
+def horizon_us(p: JoinParams, max_duration_us: int | None) -> int:
+    """How far past an observation's end something on time can still concern it."""
+    end = next(s for s in p.signals if s.name == "end")
+    return max(abs(end.offset_us) + end.window_us, p.local_span_us + (max_duration_us or 0) if p.local_span_us else 0)
+
+
+def timed(seen: DataFrame, marks: DataFrame, ends: dict[str, tuple[str, str]], params: dict[str, JoinParams], max_duration_us: int | None = None) -> DataFrame:
+    """Final decisions by time: flow_id, place, source, seq, kind (LINKED, UNDECIDED), reason, partner_source, partner_seq, weight.
+
+    ``seen``: flow_id, pos, source, seq, point, side, time, start_us, end_us, one row for each observation; ``ends``: the upper and the
+    lower point of each place. Late observations take no part. Reasons: those of ``timed_links``, TIME_ABSENT, TOO_LONG.
+    """
+    _check_timed(params, max_duration_us)
+    on_time = seen.join(marks.select("flow_id", "pos", "mark_before"), ["flow_id", "pos"]).filter("mark_before is null or time >= mark_before")
+    on_time = cut(on_time.select("flow_id", "source", "seq", "point", "side", "start_us", "end_us"))
+    absent = F.col("start_us").isNull() | F.col("end_us").isNull()
+    long_ = F.lit(False) if max_duration_us is None else F.col("end_us") - F.col("start_us") > max_duration_us
+    out = None
+    for place, p in sorted(params.items()):
+        up, down = ends[place]
+        own = on_time.filter(((F.col("point") == up) & (F.col("side") == "outbound")) | ((F.col("point") == down) & (F.col("side") == "inbound")))
+        own = own.withColumn("reason", F.when(absent, "TIME_ABSENT").when(long_, "TOO_LONG"))
+        left_out = own.filter("reason is not null").select("flow_id", F.lit(place).alias("place"), "source", "seq", F.lit("UNDECIDED").alias("kind"), "reason", F.lit(None).cast("string").alias("partner_source"), F.lit(None).cast("long").alias("partner_seq"), F.lit(None).cast("long").alias("weight"))
+        sides = [own.filter((F.col("side") == s) & F.col("reason").isNull()).select("flow_id", "source", "seq", "start_us", "end_us") for s in ("outbound", "inbound")]
+        found = timed_links(*sides, p, by=["flow_id"])
+        matched = F.col("status") == "MATCHED"
+        told = found.select("flow_id", F.lit(place).alias("place"), "source", "seq", F.when(matched, "LINKED").otherwise("UNDECIDED").alias("kind"), F.when(~matched, F.col("status")).alias("reason"), "partner_source", "partner_seq", "weight")
+        both = told.unionByName(left_out)
+        out = both if out is None else out.unionByName(both)
     return out

@@ -8,6 +8,8 @@ from decimal import ROUND_HALF_EVEN, Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.runs import order_statistics
+
 D = Decimal
 
 # Sample sizes and bounds of the gates.
@@ -152,7 +154,9 @@ def latency_gate(latencies: DataFrame) -> DataFrame:
     """n, p95, p99 (nearest rank) and verdict: PASS, FAIL, TOO_FEW, NOT_FINITE or NEGATIVE."""
     x = F.col("latency_s")
     odd = F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    out = latencies.agg(F.count("*").alias("n"), odd.alias("odd"), F.count_if(x < 0).alias("negative"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_s)").alias("p95"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_s)").alias("p99"))
+    out = latencies.agg(F.count("*").alias("n"), odd.alias("odd"), F.count_if(x < 0).alias("negative"))
+    told = order_statistics(latencies, [], "latency_s", {"p95": ("nearest", "0.95"), "p99": ("nearest", "0.99")}).drop("n")
+    out = out.join(F.broadcast(told), F.lit(True), "left")  # one row joins one
     ok = (F.col("p95") <= P95_MAX_S) & (F.col("p99") <= P99_MAX_S)
     verdict = F.when(F.col("n") < MIN_SIGNALS, "TOO_FEW").when(F.col("odd") > 0, "NOT_FINITE").when(F.col("negative") > 0, "NEGATIVE").when(ok, "PASS").otherwise("FAIL")
     return out.select("n", "p95", "p99", verdict.alias("verdict"))

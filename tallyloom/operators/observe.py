@@ -108,3 +108,8 @@ def alerts(counts: DataFrame, origins: DataFrame, failures: DataFrame, rules: li
     for more in out[1:]:
         both = both.union(more)
     return both
+
+
+def in_order(told: DataFrame) -> DataFrame:
+    """Alerts in the order in which they are reported."""
+    return told.orderBy("day", "kind", "side", "source", "detail")

@@ -158,8 +158,20 @@ SELECT place, source, seq, CASE WHEN k1 IS NOT DISTINCT FROM 'COLLIDED' OR k2 IS
 """
 
 
+# Components of these observations are stars of at most two edges: the best edge is taken, and what deciding otherwise costs is its lead over the other.
+_DECIDED = f"""WITH {_CROWD}, o AS (SELECT side, source, seq, start_us, count(start_us) OVER (PARTITION BY side ORDER BY start_us RANGE BETWEEN 1500 PRECEDING AND 1500 FOLLOWING) - 1 AS others FROM s),
+e AS (SELECT *, greatest(count(*) OVER (PARTITION BY up_seq), count(*) OVER (PARTITION BY down_seq)) AS n,
+  greatest(max(weight) OVER (PARTITION BY up_seq), max(weight) OVER (PARTITION BY down_seq)) AS best, least(min(weight) OVER (PARTITION BY up_seq), min(weight) OVER (PARTITION BY down_seq)) AS least_ FROM pairs),
+r AS (SELECT 'outbound' AS side, up_source AS source, up_seq AS seq, down_source AS ps, down_seq AS pq, * EXCLUDE (up_source, up_seq, down_source, down_seq) FROM e UNION ALL SELECT 'inbound', down_source, down_seq, up_source, up_seq, * EXCLUDE (up_source, up_seq, down_source, down_seq) FROM e),
+t AS (SELECT side, source, seq, bool_or(CASE WHEN n = 1 THEN best <= 2 ELSE best - least_ <= 2 END) AS unsure, max(CASE WHEN weight = best THEN {{'s': ps, 'q': pq, 'w': weight}} END) AS p FROM r GROUP BY ALL),
+m AS (SELECT o.*, t.p, CASE WHEN t.side IS NULL THEN 'NO_CANDIDATE' WHEN unsure THEN 'AMBIGUOUS' WHEN p IS NULL THEN 'UNMATCHED' ELSE 'MATCHED' END AS status FROM o LEFT JOIN t USING (side, source, seq)),
+f AS (SELECT m.side, m.source, m.seq, CASE WHEN m.status = 'MATCHED' AND greatest(m.others, k.others) * 20000 > 60000 THEN 'DENSE' ELSE m.status END AS status, m.p FROM m LEFT JOIN o k ON k.side <> m.side AND k.source = m.p.s AND k.seq = m.p.q)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "timing_links": _DECIDED + "SELECT side, source, seq, status, CASE status WHEN 'MATCHED' THEN p.s END AS partner_source, CASE status WHEN 'MATCHED' THEN p.q END AS partner_seq, CASE status WHEN 'MATCHED' THEN p.w END AS weight FROM f",
+        "timing_status": _DECIDED + "SELECT side, status, count(*) AS n FROM f GROUP BY ALL",
         "exact_links": _TRACE + "SELECT place, key, value, 'out' AS up_source, up_seq, 'in' AS down_source, down_seq FROM g WHERE n_up = 1 AND n_down = 1",
         "observed_links": "WITH " + _grouped("concat(trace, '|', conn)", "traceparent+tuple5", "trace IS NOT NULL AND conn IS NOT NULL") + "SELECT place, key, value, 'out' AS up_source, up_seq, 'in' AS down_source, down_seq FROM g WHERE n_up = 1 AND n_down = 1",
         "exact_collisions": _TRACE + "SELECT place, value, n_up, n_down FROM g WHERE n_up > 1 OR n_down > 1",

@@ -35,6 +35,14 @@ DECISIONS = """SELECT CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS
   event_id % 89 = 0 AS forced FROM events"""
 
 
+# The same as decisions in effect on records, some still provisional; right records of even numbers follow their left one.
+STATES = """SELECT CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, CAST(event_id AS STRING) AS id, event_type AS source, CAST(ts AS DATE) AS day,
+  CASE WHEN event_id % 31 = 0 THEN 'PROVISIONAL' ELSE 'FINAL' END AS status, CASE WHEN event_id % 4 = 0 THEN 'M0_REFERENCE' WHEN event_id % 4 = 1 THEN 'AS_COUNTERPART' ELSE 'NO_CANDIDATE' END AS reason,
+  split(concat(CAST(event_id - 1 AS STRING), ',', CAST(event_id AS STRING)), ',') AS input_ids, event_id % 89 = 0 AS forced FROM events"""
+
+# When records of sources came in.
+ARRIVALS = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, CAST(o_orderkey AS STRING) AS id, concat('s', CAST(o_custkey % 100 AS STRING)) AS source, CAST(o_orderdate AS DATE) AS day FROM orders"
+
 TABLES = ("orders", "events", "load_gen_rows", "timed_obs", "timed_probe", "flow_decisions")
 
 

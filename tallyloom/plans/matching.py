@@ -113,6 +113,13 @@ def oracle_sql() -> dict[str, str]:
         "reconcile_matches": _RUN + f"SELECT {_COLUMNS} FROM matched",
         "reject_reasons": _RUN + "SELECT * FROM rejects",
         "reason_breakdown": _RUN + "SELECT reason, count(*) AS n, count(DISTINCT left_id) AS records FROM rejects GROUP BY reason",
+        "run_counters": _RUN
+        + """, used AS (SELECT rule, lid AS id FROM matched UNION ALL SELECT rule, unnest(rids) FROM matched), of_ AS (SELECT block, n, rule, lid AS id FROM numbered UNION ALL SELECT block, n, rule, unnest(rids) FROM numbered),
+          gone AS (SELECT DISTINCT block, n FROM of_ JOIN used ON of_.id = used.id AND used.rule < of_.rule),
+          c AS (SELECT 'records_left' AS counter, count(*) AS value FROM ledger UNION ALL SELECT 'records_right', count(*) FROM feed UNION ALL SELECT 'blocks', count(*) FROM (SELECT account, currency FROM ledger UNION SELECT account, currency FROM feed)
+            UNION ALL SELECT 'unmatched_left', count(*) FROM open_left UNION ALL SELECT 'unmatched_right', count(*) FROM feed WHERE id NOT IN (SELECT id FROM taken_right)
+            UNION ALL SELECT 'candidates_evaluated', count(*) FROM numbered ANTI JOIN gone USING (block, n) UNION ALL SELECT 'matched_' || rule, count(*) FROM matched GROUP BY rule UNION ALL SELECT 'manual_review', count(*) FROM open_left WHERE n_right > 32)
+          SELECT * FROM c WHERE value > 0 OR counter IN ('records_left', 'records_right', 'blocks')""",
         "match_fingerprints": _RUN
         + f"SELECT lid AS left_id, {digest.format(chr(39) + 'MATCH' + chr(39) + ', lid, array_to_string(rids, chr(44)), rule, CASE WHEN rule = ' + chr(39) + 'M1_EXACT' + chr(39) + ' THEN ' + chr(39) + '0' + chr(39) + ' ELSE CAST(CAST(res AS DECIMAL(18,2)) AS STRING) END')} AS fingerprint FROM matched"
         + f" UNION ALL SELECT left_id, {digest.format(chr(39) + 'BREAK' + chr(39) + ', left_id, coalesce(right_id, ' + chr(39) * 2 + '), reason')} FROM rejects",

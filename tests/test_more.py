@@ -197,9 +197,128 @@ def test_flow_finals(spark):
     seen = spark.createDataFrame(rows, "flow_id string, pos long, source string, seq long, point string, side string, keys map<string,string>, time long")
     config = spark.createDataFrame([("f", ["x", "y"], 50, 30, None)], "flow_id string, sources array<string>, window_us long, lateness_us long, max_silence_us long")
     joins = spark.createDataFrame([("p -> q", [k], a, "p", "outbound", "q", "inbound") for k, a in (("traceparent", True), ("tuple5", False))], "place string, keys array<string>, authored boolean, up_point string, up_side string, down_point string, down_side string")
-    out = {(r.source, r.seq): (r.kind, r.corroboration, r.status) for r in flow.replay(seen, flow.timeline(seen, config), config, joins).collect()}
+    steps = flow.replay(seen, flow.timeline(seen, config), config, joins).cache()
+    out = {(r.source, r.seq): (r.kind, r.corroboration, r.status) for r in flow.in_effect(steps).collect()}
     assert out["x", 0] == out["y", 0] == ("LINKED", "CORROBORATED", "FINAL") and out["x", 2] == ("LINKED", "SIGNAL_ABSENT", "FINAL") and out["x", 3] == ("UNLINKED", None, "FINAL")
     assert out["x", 5][2] == "PROVISIONAL" and out["x", 70][0] == "VALUE_AFTER_FINAL" and out["x", 71][0] == "LATE"
+    chain = sorted((r.chain_version, r.status, r.kind, r.supersedes, r.decision_id) for r in steps.filter("source = 'x' and seq = 0").collect())
+    assert [c[1:3] for c in chain] == [("PROVISIONAL", "UNLINKED"), ("PROVISIONAL", "LINKED"), ("FINAL", "LINKED")] and [c[3] for c in chain] == [None, *(c[4] for c in chain[:-1])]
+    assert {(r.observations, r.decisions, r.forced) for r in flow.proofs(steps).collect()} == {(2, 2, False), (1, 1, False)}
+    assert [(m.source, m.seq) for m in next(r for r in steps.collect() if (r.source, r.seq, r.status) == ("y", 2, "FINAL")).missing_on] == [("x", 2), ("y", 2)]
+
+
+def _flow_by_the_book(rows, window, lateness, sources, joins, most):
+    """Decisions in effect of one flow, matching all open observations anew whenever a group closes, straight from the definition."""
+    reached, first, open_, closed, done = dict.fromkeys(sources), None, {}, set(), {}
+    mark = lambda: None if first is None else min(first if r is None else r for r in reached.values()) - lateness
+    value = lambda m, keys: None if any(k not in m["keys"] for k in keys) else (keys, tuple(m["keys"][k] for k in keys))
+
+    def groups():
+        left, found = set(open_), []
+        while left:
+            group, new = set(), {min(left)}
+            while new:
+                group |= new
+                held = {v for i in new for ks, *_ in joins if (v := value(open_[i], ks))}
+                new = {j for j in left - group for ks, *_ in joins if value(open_[j], ks) in held}
+            left -= group
+            found.append(group)
+        return found
+
+    def outcome(group, identity, join):
+        keys, authored, up, down = join
+        m = open_[identity]
+        at = (m["point"], m["side"])
+        if at not in (up, down) or value(m, keys) is None:
+            return None
+        same = [i for i in group if value(open_[i], keys) == value(m, keys)]
+        ends = [[i for i in same if (open_[i]["point"], open_[i]["side"]) == e] for e in (up, down)]
+        other = ends[1] if at == up else ends[0]
+        if max(map(len, ends)) > 1:
+            return "COLLIDED", sorted(other) if authored and sum(map(len, ends)) <= most else []
+        return ("LINKED" if other else "UNLINKED"), other
+
+    def verdict(group, identity):
+        a, b = (outcome(group, identity, j) for j in joins)
+        for o in (a, b):
+            if o and o[0] == "COLLIDED":
+                return (*o, None)
+        linked = [o for o in (a, b) if o and o[0] == "LINKED"]
+        if len(linked) == 2:
+            return ("LINKED", a[1], "CORROBORATED") if a[1] == b[1] else ("CONFLICTED", sorted({*a[1], *b[1]}), "SIGNAL_OTHER_PARTNER")
+        if linked:
+            lacking = [i for i in (identity, *linked[0][1]) if not outcome(group, i, joins[1] if linked[0] is a else joins[0])]
+            return ("LINKED", linked[0][1], "SIGNAL_ABSENT") if lacking else ("CONFLICTED", linked[0][1], "SIGNAL_UNMATCHED")
+        return (*(a or b), None) if a or b else None
+
+    def settle(at):
+        for group in groups():
+            if at is not None and max(open_[i]["time"] for i in group) + window < at:
+                done.update({i: (*v, "FINAL") for i in group if (v := verdict(group, i))})
+                for i in group:
+                    closed.update((k, v) for k, v in open_[i]["keys"].items() if (k,) == joins[0][0])
+                for i in group:
+                    del open_[i]
+
+    for m in rows:
+        identity, before = (m["source"], m["seq"]), mark()
+        settle(before)
+        first = m["time"] if first is None else min(first, m["time"])
+        reached[m["source"]] = max(m["time"], reached[m["source"]] if reached[m["source"]] is not None else m["time"])
+        if before is not None and m["time"] < before:
+            done[identity] = ("LATE", [], None, "FINAL")
+        elif any((k, v) in closed for k, v in m["keys"].items() if (k,) == joins[0][0]):
+            done[identity] = ("VALUE_AFTER_FINAL", [], None, "FINAL")
+        else:
+            open_[identity] = m
+    settle(mark())
+    for group in groups():
+        done.update({i: (*v, "PROVISIONAL") for i in group if (v := verdict(group, i))})
+    return done
+
+
+def test_flow_against_the_definition(spark):
+    rows, expected = [], {}
+    joins = [(("traceparent",), True, ("p", "outbound"), ("q", "inbound")), (("tuple5",), False, ("p", "outbound"), ("q", "inbound"))]
+    for seed in range(25):
+        rng, own = random.Random(seed), []
+        for pos in range(40):
+            keys = {k: v for k, v in (("traceparent", f"t{rng.randrange(12)}"), ("tuple5", f"c{rng.randrange(12)}")) if rng.random() < 0.8}
+            point, side = rng.choice([("p", "outbound"), ("q", "inbound"), ("q", "outbound")])
+            own.append({"source": rng.choice("xy"), "seq": pos, "point": point, "side": side, "keys": keys, "time": pos * 10 + rng.randrange(-60, 20)})
+        expected |= {(f"f{seed}", *i): v for i, v in _flow_by_the_book(own, 50, 30, "xy", joins, 3).items()}
+        rows += [(f"f{seed}", pos, m["source"], m["seq"], m["point"], m["side"], m["keys"], m["time"]) for pos, m in enumerate(own)]
+    seen = spark.createDataFrame(rows, "flow_id string, pos long, source string, seq long, point string, side string, keys map<string,string>, time long")
+    config = spark.createDataFrame([(f"f{s}", ["x", "y"], 50, 30, None) for s in range(25)], "flow_id string, sources array<string>, window_us long, lateness_us long, max_silence_us long")
+    declared = spark.createDataFrame([("p -> q", list(k), a, *u, *d) for k, a, u, d in joins], "place string, keys array<string>, authored boolean, up_point string, up_side string, down_point string, down_side string")
+    out = flow.in_effect(flow.replay(seen, flow.timeline(seen, config), config, declared, 3)).collect()
+    assert {(r.flow_id, r.source, r.seq): (r.kind, [(p.source, p.seq) for p in r.partners], r.corroboration, r.status) for r in out} == expected
+    assert {v[0] for v in expected.values()} == {"LATE", "VALUE_AFTER_FINAL", "LINKED", "UNLINKED", "COLLIDED", "CONFLICTED"}
+
+
+def test_flow_entry_checks(spark):
+    config = spark.createDataFrame([("f", ["x"])], "flow_id string, sources array<string>")
+    schema = "flow_id string, pos long, kind string, source string, at_us long, start_us long, end_us long, until_us long"
+    good = [("f", 0, "seen", "x", 5, None, None, None), ("f", 1, "seen", "x", 9, 5, 9, None), ("f", 2, "advance", "x", None, None, None, 9)]
+    bad = [("f", 3, "scene", "x", 5, None, None, None), ("f", 4, "seen", "z", 5, None, None, None), ("g", 5, "advance", "x", None, None, None, 9), ("f", 6, "advance", "x", None, None, None, None), ("f", 7, "seen", "x", 9, 5, None, None), ("f", 8, "seen", "x", 4, 5, 4, None), ("f", 9, "seen", "x", 8, 5, 9, None), (None, 10, "seen", "x", 1, None, None, None)]
+    told = {r.pos: r.refusal for r in flow.refused(spark.createDataFrame(good + bad, schema), config).collect()}
+    assert [p for p, r in sorted(told.items()) if r is None] == [0, 1, 2]
+    assert flow.checked(spark.createDataFrame(good, schema), config).count() == 3
+    with pytest.raises(Exception, match="undeclared source"):
+        flow.checked(spark.createDataFrame(good + bad[1:2], schema), config).collect()
+
+
+def test_timed_links_of_a_flow(spark):
+    end = timing.Signal("end", 0, 10)
+    for params, longest in ((timing.JoinParams((timing.Signal("start", 0, 5),)), None), (timing.JoinParams((end,), local_span_us=5), None)):
+        with pytest.raises(ValueError):
+            flow.timed(None, None, {}, {"p -> q": params}, longest)
+    assert flow.horizon_us(timing.JoinParams((timing.Signal("end", -7, 10),), local_span_us=9), 40) == 49
+    rows = [("f", 0, "x", 0, "p", "outbound", 10, 0, 10), ("f", 1, "y", 0, "q", "inbound", 12, 3, 12), ("f", 2, "x", 1, "p", "outbound", 30, None, 30), ("f", 3, "y", 1, "q", "inbound", 90, 0, 90), ("f", 4, "x", 2, "p", "outbound", 1, 0, 1), ("g", 5, "y", 2, "q", "inbound", 1, 0, 1)]
+    seen = spark.createDataFrame(rows, "flow_id string, pos long, source string, seq long, point string, side string, time long, start_us long, end_us long")
+    marks = spark.createDataFrame([(r[0], r[1], 5 if r[1] == 4 else None) for r in rows], "flow_id string, pos long, mark_before long")
+    out = {(r.flow_id, r.source, r.seq): (r.kind, r.reason, r.partner_seq) for r in flow.timed(seen, marks, {"p -> q": ("p", "q")}, {"p -> q": timing.JoinParams((end,))}, 50).collect()}
+    assert out == {("f", "x", 0): ("LINKED", None, 0), ("f", "y", 0): ("LINKED", None, 0), ("f", "x", 1): ("UNDECIDED", "TIME_ABSENT", None), ("f", "y", 1): ("UNDECIDED", "TOO_LONG", None), ("g", "y", 2): ("UNDECIDED", "NO_CANDIDATE", None)}
 
 
 def test_flow_crowded_value(spark):
@@ -213,7 +332,7 @@ def test_flow_crowded_value(spark):
     joins = spark.createDataFrame([("p -> q", [k], a, "p", "outbound", "q", "inbound") for k, a in (("traceparent", True), ("tuple5", False))], "place string, keys array<string>, authored boolean, up_point string, up_side string, down_point string, down_side string")
     moved = seen.select("flow_id", "pos", "source", "time").unionByName(spark.createDataFrame([("back", 4 * n + 2 + i, s, 1000 * n + 500) for n in range(600) for i, s in enumerate("xy")], "flow_id string, pos long, source string, time long"))
     told = {f: [] for f in ("few", "many", "back")}
-    for r in flow.replay(seen, flow.timeline(moved, config), config, joins).collect():
+    for r in flow.in_effect(flow.replay(seen, flow.timeline(moved, config), config, joins)).collect():
         told[r.flow_id].append((r.source, r.kind, r.key, r.value if r.key == "traceparent" else None, len(r.partners), r.status))
     assert len(told["many"]) == 1_200 and set(told["many"]) == set(told["few"]) and ("x", "COLLIDED", "traceparent", "hot", 0, "PROVISIONAL") in told["many"]
     assert len(told["back"]) == 1_200 and {t[1] for t in told["back"]} == {"LINKED"}
