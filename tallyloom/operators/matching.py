@@ -17,7 +17,7 @@ The subset sums of M3 and the pairwise reasons stay within blocks of at most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
@@ -221,22 +221,27 @@ def _sized(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(s.join(n, same, "left").withColumn("n_right", F.coalesce("n_right", F.lit(0))).drop("_a", "_c") for s in (left, right))
 
 
-def reconcile(left: DataFrame, right: DataFrame, tol: Tolerance | None = None) -> Outcome:
-    """Matches, rejects (one reason for each pair of an unmatched left record and its block, or for the record) and counters."""
+def reconcile(left: DataFrame, right: DataFrame, tol: Tolerance | None = None, more: dict[str, Callable[[DataFrame, DataFrame, Tolerance], DataFrame]] | None = None) -> Outcome:
+    """Matches, rejects (one reason for each pair of an unmatched left record and its block, or for the record) and counters.
+
+    ``more`` has rules of the caller's own by name, which run after the others on what they leave: each gives the
+    candidates (account, currency, left_id, right_ids, rule, score, amount_residual, date_gap_days) of free records.
+    """
     tol = tol or Tolerance()
     columns = ["id", "account", "amount", "value_date", "reference", "currency"]
     left, right = (s.select(*columns) for s in (left, right))
     free_left, free_right = (cut(s) for s in _sized(left, right))
     all_left, all_right = free_left, free_right
     taken, evaluated = [], []
-    for rule in RULES:
+    generators = GENERATORS | (more or {})
+    for rule in [*RULES, *[r for r in more or {} if r not in RULES]]:
         l, r = free_left, free_right  # noqa: E741
         if rule == "M3_AGGREGATE":
             l, r = (s.filter(F.col("n_right") <= tol.max_block_candidates) for s in (l, r))  # noqa: E741
             if tol.max_aggregate_size < 2:
                 continue
-        candidates = GENERATORS[rule](l, r, tol)
-        if rule in ("M0_REFERENCE", "M1_EXACT"):
+        candidates = generators[rule](l, r, tol)
+        if generators[rule] in (by_reference, exact):
             by = ["reference"] if rule == "M0_REFERENCE" else ["amount", "value_date"]
             evaluated.append(_pair_count(l, r, rule, tol))
             won = cut(zipped(l, r, by, rule, tol, "reference" if rule == "M0_REFERENCE" else None))

@@ -122,6 +122,15 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return timing.components(found, "a", "b").groupBy("component").count().groupBy(F.col("count").alias("size")).agg(F.count("*").alias("components"))
 
 
+def graph_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """What a strict reading of the candidate links refuses."""
+    name = lambda c: F.concat(F.col(f"{c}.source"), F.lit("/"), F.col(f"{c}.seq").cast("string"))
+    edges = table(spark, d, "candidate_links").filter("hop = 'edge-gw -> checkout-api'").select(name("upstream").alias("left"), name("downstream").alias("right"), "weight")
+    seen = table(spark, d, "timed_obs").select(F.concat("source", F.lit("/"), F.col("seq").cast("string")).alias("id"), "point", "side")
+    at = lambda point, side: seen.filter((F.lower(F.trim("point")) == point) & (F.col("side") == side)).select("id")
+    return timing.graph_refusals(at("edge-gw", "outbound"), at("checkout-api", "inbound"), edges)
+
+
 def density_guard(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "timed_obs").filter("start_us is not null").select("source", "seq", "point", "start_us")
     near = timing.others_near(o, "start_us", 20_000, ["point"])
@@ -129,7 +138,7 @@ def density_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (exact_links, observed_links, exact_collisions, exact_unlinked, two_signal_outcome, topology_ceilings, topology_links, dedupe_deliveries, timing_candidates, timing_links, timing_status, component_sizes, density_guard)
+    own = (exact_links, observed_links, exact_collisions, exact_unlinked, two_signal_outcome, topology_ceilings, topology_links, dedupe_deliveries, timing_candidates, timing_links, timing_status, component_sizes, density_guard, graph_refusals)
     return {f.__name__: f for f in own}
 
 
@@ -169,7 +178,9 @@ f AS (SELECT m.side, m.source, m.seq, CASE WHEN m.status = 'MATCHED' AND greates
 
 
 def oracle_sql() -> dict[str, str]:
+    ceilings = [("p0 -> p1", "authored", "shared_header", "'traceparent'", "NULL"), ("p1 -> p2", "derived", "nested_timing", "NULL", "'1/2'"), ("p2 -> p0", "authored", "shared_header", "'traceparent'", "NULL"), ("p0", "observed", "inside_process", "NULL", "NULL"), ("p1", "observed", "inside_process", "NULL", "NULL"), ("p2", "authored", "propagated", "'traceparent'", "NULL")]  # read off the rules
     return {
+        "topology_ceilings": " UNION ALL ".join(f"SELECT '{place}' AS place, '{evidence}' AS evidence, '{link}' AS link, CAST({key} AS VARCHAR) AS key, CAST({density} AS VARCHAR) AS density" for place, evidence, link, key, density in ceilings),
         "timing_links": _DECIDED + "SELECT side, source, seq, status, CASE status WHEN 'MATCHED' THEN p.s END AS partner_source, CASE status WHEN 'MATCHED' THEN p.q END AS partner_seq, CASE status WHEN 'MATCHED' THEN p.w END AS weight FROM f",
         "timing_status": _DECIDED + "SELECT side, status, count(*) AS n FROM f GROUP BY ALL",
         "exact_links": _TRACE + "SELECT place, key, value, 'out' AS up_source, up_seq, 'in' AS down_source, down_seq FROM g WHERE n_up = 1 AND n_down = 1",
@@ -181,6 +192,11 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT place, trace, count(*) FILTER (point = up AND side = us) AS u, count(*) FILTER (point = dn AND side = ds) AS d FROM ({SPANS}) JOIN j ON (point = up AND side = us) OR (point = dn AND side = ds) GROUP BY ALL)
           SELECT place, 'traceparent' AS key, CASE WHEN u > 1 OR d > 1 THEN 'COLLIDED' WHEN u = 1 AND d = 1 THEN 'LINKED' ELSE 'UNLINKED' END AS kind, count(*) AS n FROM g GROUP BY ALL""",
         "dedupe_deliveries": f"SELECT point, side, count(*) AS observations, count(*) FILTER (seq % 7 = 0) AS dropped FROM ({SPANS}) GROUP BY ALL",
+        "graph_refusals": """WITH e AS (SELECT concat(upstream.source, '/', upstream.seq) AS l, concat(downstream.source, '/', downstream.seq) AS r, weight FROM candidate_links WHERE hop = 'edge-gw -> checkout-api'),
+          a AS (SELECT concat(source, '/', seq) AS id FROM timed_obs WHERE lower(trim(point)) = 'edge-gw' AND side = 'outbound'), b AS (SELECT concat(source, '/', seq) AS id FROM timed_obs WHERE lower(trim(point)) = 'checkout-api' AND side = 'inbound')
+          SELECT 'duplicate left id' AS what, id, count(*) AS times FROM a GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'duplicate right id', id, count(*) FROM b GROUP BY id HAVING count(*) > 1
+          UNION ALL SELECT 'duplicate edge', l || ' -> ' || r, count(*) FROM e GROUP BY l, r HAVING count(*) > 1 UNION ALL SELECT 'unknown left id', l, count(*) FROM e WHERE l NOT IN (SELECT id FROM a) GROUP BY l
+          UNION ALL SELECT 'unknown right id', r, count(*) FROM e WHERE r NOT IN (SELECT id FROM b) GROUP BY r UNION ALL SELECT 'weight out of range', l || ' -> ' || r, count(*) FROM e WHERE weight IS NULL OR weight NOT BETWEEN 1 AND 1000000000 GROUP BY l, r""",
         "timing_candidates": f"WITH {_CROWD} SELECT * FROM pairs",
         "component_sizes": f"""WITH RECURSIVE {_CROWD}, e AS (SELECT DISTINCT concat('u', up_seq) AS a, concat('d', down_seq) AS b FROM pairs), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
           reach AS (SELECT a, a AS b FROM both_ UNION SELECT r.a, x.b FROM reach r JOIN both_ x ON r.b = x.a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)

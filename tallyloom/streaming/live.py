@@ -7,15 +7,19 @@ stream into batches gives the same results as one pass over all of it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.operators import replay
 from tallyloom.operators.late_events import FingerTree
 from tallyloom.operators.redelivery import DeliveryStore
+from tallyloom.session import cut
 
 PERIODS = "flow_id string, period_start_us long, rows long, corrections long, refused long, closed boolean, pos long"
 
@@ -81,3 +85,83 @@ def period_counts(stream: DataFrame, sources: dict[str, list[str]], lateness_us:
 def windowed_counts(stream: DataFrame, time: str, lateness: str, period: str, *by: str) -> DataFrame:
     """Counts by period with Spark's own watermark, where results need not be the same for every division into batches."""
     return stream.withWatermark(time, lateness).groupBy(F.window(time, period), *by).agg(F.count("*").alias("rows"))
+
+
+class Reconciliation:
+    """Decisions of a reconciliation journal that comes in batches: those of ``replay`` over all of it, however it is divided.
+
+    Works as the function of ``foreachBatch``. Each batch writes a step: its decisions, the state of all blocks, the
+    records seen, and last of all what it has counted, which makes the step complete. A batch given again after a
+    failure starts from the last complete step before it and writes the same. A block is folded where its batch's
+    entries are; its state holds what is open, and all blocks' states are written anew with each batch.
+    """
+
+    _STATE = "account string, currency string, state binary, " + replay.SCHEMA
+
+    def __init__(self, path: str, config: replay.StreamConfig) -> None:
+        self.path, self.config = path, config
+
+    def _steps(self, spark: SparkSession) -> list[int]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        at = path(self.path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+        return sorted(int(n[5:]) for n in names if n.startswith("step-") and files.exists(path(f"{self.path}/{n}/counted/_SUCCESS")))
+
+    def _new(self, batch: DataFrame, steps: list[int]) -> DataFrame:
+        """The batch without records that earlier ones brought; the same record with other content is an error."""
+        if not steps:
+            return batch
+        content = F.sha2(F.to_json(F.struct(*replay._RECORD)), 256)
+        seen = batch.sparkSession.read.parquet(*[f"{self.path}/step-{n}/seen" for n in steps]).select(F.col("side").alias("_side"), F.col("id").alias("_id"), "content")
+        both = batch.join(seen, (F.col("kind") == "arrival") & (F.col("side") == F.col("_side")) & (F.col("id") == F.col("_id")), "left")
+        told = F.raise_error(F.concat(F.lit("delivered with different content: "), "side", F.lit("/"), "id"))
+        other = F.col("content").isNotNull() & (F.col("content") != content)
+        return both.withColumn("kind", F.when(other, told).otherwise(F.col("kind"))).filter(F.col("content").isNull() | other).select(*batch.columns)
+
+    def accept(self, batch: DataFrame, batch_id: int) -> None:
+        spark, config = batch.sparkSession, self.config
+        steps = [n for n in self._steps(spark) if n < batch_id]
+        at, last = f"{self.path}/step-{batch_id}", f"{self.path}/step-{steps[-1]}" if steps else None
+        counted = spark.read.parquet(f"{last}/counted").first() if last else {"positions": 0, **dict.fromkeys(replay.SIDES)}
+        before, reached = counted["positions"], {s: counted[s] for s in replay.SIDES if counted[s] is not None}
+        entries = cut(replay.positions(self._new(batch, steps)).withColumn("position", F.col("position") + before))
+        arrivals, progress = entries.filter("kind = 'arrival'"), entries.filter("kind = 'progress'")
+        moves = [tuple(r) for r in progress.groupBy("side", "until").agg(F.min("position").alias("position")).select("position", "side", "until").orderBy("position").collect()]  # no more than two for each day of the calendar
+        shared = spark.sparkContext.broadcast((moves, reached))
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            told, known = shared.value
+            own = pickle.loads(right["state"].iloc[0]) if len(right) else replay.BlockReplay(config)
+            for side, day in known.items():
+                own.reach(side, day)
+            rows = left.astype(object).where(left.notna(), None).to_dict("records") if len(left) else []
+            events = [(int(r["position"]), None, r) for r in rows] + [(p, side, until) for p, side, until in told]
+            for position, side, what in sorted(events, key=lambda e: e[0]):
+                if side is not None:
+                    own.progress(position, side, what)
+                    continue
+                amount = what["amount"] if isinstance(what["amount"], Decimal) else Decimal(str(what["amount"]))
+                own.record(position, what["side"], {"id": what["id"], "amount": amount, "value_date": what["value_date"], "reference": what["reference"]})
+            out, own.out = own.out, []
+            block = (right if len(right) else left)[["account", "currency"]].iloc[0].to_dict()
+            rows = [{**block, **d} for d in out] + [{**block, "state": pickle.dumps(own)}]
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in self._STATE.split(", ")]).astype(object)
+            return frame.where(frame.notna(), None).astype({c: "Int64" for c in ("chain_version", "decided_at", "final_at", "step")})
+
+        state = spark.read.parquet(f"{last}/state") if last else spark.createDataFrame([], "account string, currency string, state binary")
+        out = cut(arrivals.groupBy("account", "currency").cogroup(state.groupBy("account", "currency")).applyInPandas(run, self._STATE))
+        out.filter("state is null").drop("state").write.mode("overwrite").parquet(f"{at}/decisions")
+        out.filter("state is not null").select("account", "currency", "state").write.mode("overwrite").parquet(f"{at}/state")
+        arrivals.select("side", "id", F.sha2(F.to_json(F.struct(*replay._RECORD)), 256).alias("content")).write.mode("overwrite").parquet(f"{at}/seen")
+        tops = [F.greatest(F.max(F.when((F.col("kind") == "progress") & (F.col("side") == s), F.col("until"))), F.lit(reached.get(s)).cast("date")).alias(s) for s in replay.SIDES]
+        entries.agg((F.count("*") + F.lit(before)).alias("positions"), *tops).coalesce(1).write.mode("overwrite").parquet(f"{at}/counted")
+
+    def decisions(self, spark: SparkSession) -> DataFrame:
+        """All decisions so far."""
+        return spark.read.parquet(*[f"{self.path}/step-{n}/decisions" for n in self._steps(spark)])
+
+
+def reconcile(stream: DataFrame, into: Reconciliation, checkpoint: str):
+    """Starts a query that replays a stream of journal entries."""
+    return stream.writeStream.foreachBatch(lambda df, n: into.accept(df, n)).option("checkpointLocation", checkpoint).start()

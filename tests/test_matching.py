@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyloom.operators import block, matching, observe, replay
 from tallyloom.operators.matching import Tolerance
@@ -210,3 +211,15 @@ def test_taking_in_rounds_equals_taking_in_order(spark):
     df = spark.createDataFrame(rows, "account string, currency string, left_id string, right_ids array<string>, rule string, score decimal(9,6), amount_residual decimal(18,2), date_gap_days int").dropDuplicates(["left_id", "right_ids"])
     told = [sorted((r.left_id, r.right_ids[0]) for r in matching.take(df, few).collect()) for few in (0, 1_000)]
     assert told[0] == told[1]
+
+
+def test_rules_of_the_callers_own(spark):
+    """A rule that pairs what is left by account alone."""
+
+    def by_account(left, right, tol):
+        return matching._candidate(left.alias("l").join(right.alias("r"), matching._block()), "X_ACCOUNT", F.lit(Decimal("0.1")).cast("decimal(9,6)"), matching._residual(), matching._gap())
+
+    left, right = _df(spark, [("L1", "x", "10.00", "2026-01-01", None, None), ("L2", "x", "99.00", "2026-01-01", None, None)]), _df(spark, [("R1", "x", "10.00", "2026-01-01", None, None), ("R2", "x", "500.00", "2026-05-01", None, None)])
+    out = matching.reconcile(left, right, TOL, {"X_ACCOUNT": by_account})
+    assert {(r.left_id, r.right_ids[0], r.rule) for r in out.matches.collect()} == {("L1", "R1", "M1_EXACT"), ("L2", "R2", "X_ACCOUNT")}
+    assert {r.counter: r.value for r in out.counters.collect()}["matched_X_ACCOUNT"] == 1

@@ -2,18 +2,18 @@
 
 import itertools
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal as D
 
 import numpy as np
 import pytest
 
 from tallyloom.functions.durations import duration_ns
-from tallyloom.operators import analyses, flow, gates, links, timing, topology
+from tallyloom.operators import analyses, flow, gates, links, replay, runs, timing, topology
 from tallyloom.operators.matching import Tolerance
 from tallyloom.operators.redelivery import DeliveryStore
 from tallyloom.plans.correlation import TOPOLOGY
-from tallyloom.sources import logs, statements
+from tallyloom.sources import logs, reports, statements, synthetic
 from tallyloom.sources.store import Store
 from tallyloom.streaming import live
 from pyspark.sql import functions as F
@@ -188,6 +188,17 @@ def test_statements_and_store(spark, tmp_path):
     with pytest.raises(ValueError):
         store.run(left, left, Tolerance(), "v1")
     assert store.lineage(run_id).count() == 2
+    one = left.first()["id"]
+    assert [r.record_id for r in store.lineage(run_id, one).collect()] == [one] and store.records(left.select(F.col("id").alias("record_id"))).count() == 1
+    for bad in (lambda: store.lineage(run_id, "other"), lambda: store.read_run("other")):
+        with pytest.raises(ValueError):
+            bad()
+    known = spark.read.parquet(f"{tmp_path}/store/records")
+    with pytest.raises(ValueError, match="other content"):
+        store._add("records", known.limit(1).withColumn("currency", F.lit("XXX")), "record_id", ["currency"])
+    known.withColumn("amount_text", F.lit("1.00")).withColumn("record_id", F.concat("record_id", F.lit("x"))).write.mode("append").parquet(f"{tmp_path}/store/records")
+    with pytest.raises(Exception, match="damaged record"):
+        store.records().collect()
 
 
 def test_flow_finals(spark):
@@ -361,6 +372,85 @@ def test_window_match_against_all_pairs(spark):
     assert found == expected
 
 
+def test_made_traffic(spark):
+    sent = synthetic.requests(spark, 2_000, 1_000.0, 3)
+    assert sent.select("trace_id").distinct().count() == 2_000 and {tuple(r) for r in sent.collect()} == {tuple(r) for r in synthetic.requests(spark, 2_000, 1_000.0, 3).collect()}
+    fresh = synthetic.relayed(sent, 3, fresh=True)
+    assert synthetic.relayed(sent, 3).filter("trace_id <> ''").count() == 0 and fresh.join(sent, "trace_id").count() == 0 and fresh.join(sent, "path").count() == 2_000
+    answered = synthetic.upstream(sent, 3).withColumn("s", (F.col("timestamp_ns") - F.col("arrival_ns")) / 1e9)
+    told = answered.agg(F.median("s").alias("m"), F.count_if(F.col("s") > 0.9).alias("stalls"), F.max("response_size").alias("b"), F.min("s").alias("low")).first()
+    assert 0.018 < told.m < 0.022 and 1 <= told.stalls <= 25 and told.b <= 4096 and told.low > 0
+    left, right = synthetic.two_sided_events(spark, 500, 1_000.0, 2_000, 5)
+    pairs = left.select(F.substring("id", 2, 9).alias("n"), "t").join(right.select(F.substring("id", 2, 9).alias("n"), F.col("t").alias("u")), "n")
+    assert pairs.count() == 500 and pairs.filter("abs(t - u) > 2000").count() == 0 and pairs.filter("t <> u").count() > 400
+
+
+@pytest.mark.parametrize("fault", ["none", "reuse", "swap", "swap_inside", "loss", "late", "duplicates", "keyless"])
+def test_flow_on_journals_with_faults(spark, fault):
+    """What each fault does to the final links, beside a journal without any."""
+    faults = synthetic.Faults(**({} if fault == "none" else {fault: 0.2}), disorder_us=300)
+    journal, config = synthetic.journal(spark, 60, 1, faults, 11)
+    journal = journal.cache()
+    marks = flow.timeline(journal, config)
+    seen = journal.filter("kind = 'seen'").groupBy("flow_id", "source", "seq").agg(F.min_by(F.struct("pos", "point", "side", "keys", "time", "exchange", "fault"), "pos").alias("f")).select("flow_id", "source", "seq", "f.*")
+    out = flow.in_effect(flow.replay(seen.drop("exchange", "fault"), marks, config, synthetic.hops_of(spark, 1)))
+    truth = {(r.source, r.seq): (r.exchange, r.fault) for r in seen.collect()}
+    rows = out.collect()
+    assert {r.status for r in rows} == {"FINAL"}
+    linked = [r for r in rows if r.kind == "LINKED"]
+    kinds = {r.kind for r in rows}
+    wrong = [r for r in linked if truth[r.source, r.seq][0] != truth[r.partners[0].source, r.partners[0].seq][0]]
+    assert (fault in ("none", "duplicates", "swap_inside", "keyless")) == (kinds == {"LINKED"} and not wrong)
+    if fault in ("none", "duplicates"):
+        assert len(rows) == 240 and {r.corroboration for r in rows} == {"CORROBORATED"}
+        assert (journal.filter("fault = 'duplicate'").count() > 10) == (fault == "duplicates")
+    if fault in ("reuse", "swap"):
+        assert kinds & {"COLLIDED", "CONFLICTED"} and not wrong  # the connection contradicts the id
+    if fault == "swap_inside":  # both ends of the hop behind the relay carry the other id: nothing tells, and the hop itself is right
+        assert not wrong and journal.filter("fault = 'swap_inside'").count() > 0
+    if fault == "loss":
+        assert kinds == {"LINKED", "UNLINKED"} and not wrong
+    if fault == "late":
+        assert {(r.source, r.seq) for r in rows if r.kind == "LATE"} == {k for k, v in truth.items() if v[1] == "late"} and not wrong
+    if fault == "keyless":
+        assert {r.corroboration for r in linked} == {"CORROBORATED", "SIGNAL_ABSENT"} and not wrong
+
+
+def test_reports_and_calibrations(spark, tmp_path):
+    cell = tmp_path / "c1"
+    cell.mkdir()
+    (tmp_path / "cells.txt").write_text("c0: x\nc1: run-mask propagation=headers\n")
+    (cell / "port").write_text("8443\n")
+    assert reports.cell_metadata(cell) == {"hops": 0, "kinds": [], "port": 8443, "propagation": "headers", "masked": True}
+    (cell / "cell.json").write_text('{"hops": 2, "hop_kind": "relay", "fake_upstream_port": 80}')
+    assert reports.cell_metadata(cell) == {"hops": 2, "kinds": ["relay", "relay"], "port": 80, "propagation": "agent-default", "masked": False}
+    params = {'a -> "b"': ("handlerStart", timing.JoinParams((timing.Signal("end", -3, 20), timing.Signal("duration", 1, 5)), margin_us=7))}
+    inputs = [reports.fingerprint([cell / "port"]), reports.fingerprint([cell / "cell.json"])]
+    text = reports.calibration_text(params, inputs)
+    assert reports.calibration(text, inputs[::-1]) == params
+    with pytest.raises(ValueError):
+        reports.calibration(text, inputs[:1])
+    chosen = spark.createDataFrame([("a -> b", "start", "end", 1, 4, 9, 3), ("a -> b", "start", "duration", 2, 0, 20, 3)], "place string, receiver_start string, signal string, rank int, offset_us long, window_us long, margin_us long")
+    assert reports.params_of(chosen, "place") == {"a -> b": ("start", timing.JoinParams((timing.Signal("end", 4, 9), timing.Signal("duration", 0, 20)), margin_us=3))}
+    df = spark.createDataFrame([(2, None), (1, "x")], "n long, t string")
+    assert reports.table_text(df, ["n"]) == "n  t\n1  x\n2  -\n"
+    reports.write_truth(df, f"file://{tmp_path}/truth")
+    reports.write_truth(df, f"file://{tmp_path}/truth")
+    reports.write_report(df, f"file://{tmp_path}/report")
+    assert spark.read.json(f"file://{tmp_path}/truth").count() == 4 and spark.read.json(f"file://{tmp_path}/report").count() == 2
+
+
+def test_truth_ids_headers_and_places(spark):
+    t = "0123456789abcdef" * 2
+    paths = {f"/truth-{t}": t, f"/x/truth-{t}/y": t, f"/truth-{t}?q": t, f"/truth-{t}0": None, "/truth-abc": None, "": None, None: None}
+    assert {r.p: r.t for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", runs.truth_id(F.col("p")).alias("t")).collect()} == paths
+    headers = {f"00-{t}-1-01": t, "a-b-c": "", "": "", "a-b-c-d-e": ""}
+    assert {r.h: r.t for r in spark.createDataFrame([(h,) for h in headers], "h string").select("h", runs.trace_of(F.col("h")).alias("t")).collect()} == headers
+    few = spark.createDataFrame([("a", None), ("a", 5), ("b", None)], "g string, v long")
+    assert [tuple(r) for r in runs.order_statistics(few, ["g"], "v", {"p": ("nearest", "0.5"), "m": ("median", "0.5")}).collect()] == [("a", 1, 5, 5.0)]
+    assert runs.order_statistics(few.limit(0), ["g"], "v", {"p": ("floor", "0.5")}).count() == 0
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rng = random.Random(4)
     rows = [("f", pos, rng.choice("xy"), pos, rng.random() < 0.8, pos + rng.randrange(-120, 20)) for pos in range(300)]
@@ -400,3 +490,25 @@ def test_delivered_stream(spark, tmp_path):
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/store/rows").groupBy("seq").count().filter("count > 1").count() == 0
     assert spark.read.parquet(f"{tmp_path}/store/rows").count() == 30
+
+
+def test_reconciliation_in_batches_equals_one_replay(spark, tmp_path):
+    rng = random.Random(9)
+    rows, day = [], datetime(2026, 1, 1).date()
+    for pos in range(120):
+        if pos % 10 == 9:
+            rows.append((pos, "progress", rng.choice(["left", "right"]), None, None, None, None, None, None, day + timedelta(pos // 10)))
+        else:
+            rows.append((pos, "arrival", rng.choice(["left", "right"]), f"r{pos}", rng.choice("ab"), D(rng.randrange(1, 4)), day + timedelta(pos // 10 + rng.randrange(-2, 2)), rng.choice([None, "A", "B"]), rng.choice([None, "EUR"]), None))
+    rows += [(120 + i, *rows[i][1:]) for i in (3, 70)]  # delivered again
+    schema = "pos long, kind string, side string, id string, account string, amount decimal(18,2), value_date date, reference string, currency string, until date"
+    config = replay.StreamConfig(Tolerance(D("1"), D(0), 2, 2, 8), lateness_days=1, max_component_days=4)
+    whole = {(r.decided_at, r.side, r.id, r.decision_id, r.supersedes, r.status) for r in replay.replay(spark.createDataFrame(rows, schema), config).collect()}
+    own = live.Reconciliation(f"file://{tmp_path}/r", config)
+    for n, low in enumerate(range(0, len(rows), 50)):
+        own.accept(spark.createDataFrame(rows[low : low + 50], schema), n)
+        if n == 1:
+            own.accept(spark.createDataFrame(rows[low : low + 50], schema), n)  # given again
+    assert {(r.decided_at, r.side, r.id, r.decision_id, r.supersedes, r.status) for r in own.decisions(spark).collect()} == whole
+    with pytest.raises(Exception, match="different content"):
+        own.accept(spark.createDataFrame([(200, "arrival", *rows[0][2:5], D(77), *rows[0][6:])], schema), 3)
