@@ -154,28 +154,41 @@ def _solve(rounds: int):
     return run
 
 
-def pieces(counts: DataFrame, capacities: DataFrame, most_capacities: int = 1_000) -> DataFrame:
-    """Every text for every capacity; those longer than it in pieces: pack_id, capacity_tokens, doc_id, piece, length."""
-    declared = sorted({(r["pack_id"], r["capacity_tokens"]) for r in capacities.filter("pack_id is not null and capacity_tokens > 0").select("pack_id", "capacity_tokens").limit(most_capacities + 1).collect()})
-    if len(declared) > most_capacities or len({p for p, _ in declared}) < len(declared):
-        raise ValueError(f"pack ids must have one capacity each, and be {most_capacities} at most")
+def _declared(capacities: DataFrame, most: int = 1_000) -> list[tuple[int, int]]:
+    declared = sorted({(r["pack_id"], r["capacity_tokens"]) for r in capacities.filter("pack_id is not null and capacity_tokens > 0").select("pack_id", "capacity_tokens").limit(most + 1).collect()})
+    if len(declared) > most or len({p for p, _ in declared}) < len(declared):
+        raise ValueError(f"pack ids must have one capacity each, and be {most} at most")
+    return declared
+
+
+def _each(declared: list[tuple[int, int]], rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows (tokens and ``columns``) for each capacity, with ``full``: how many packs a text fills by itself before its last piece."""
     packs = F.array(*[F.struct(F.lit(p).cast("long").alias("pack_id"), F.lit(c).cast("long").alias("capacity_tokens")) for p, c in declared]) if declared else F.array().cast("array<struct<pack_id:long,capacity_tokens:long>>")
-    each = counts.filter("doc_id is not null").select("doc_id", "tokens", F.explode(packs).alias("p")).select("p.*", "doc_id", "tokens")
-    full = F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / F.col("capacity_tokens")).cast("int")
-    cut_ = each.withColumn("piece", F.explode(F.sequence(F.lit(0), full)))
+    each = rows.select(*columns, "tokens", F.explode(packs).alias("p")).select("p.*", *columns, "tokens")
+    return each.withColumn("full", F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / F.col("capacity_tokens")).cast("int"))
+
+
+def pieces(counts: DataFrame, declared: list[tuple[int, int]]) -> DataFrame:
+    """Every text for every capacity; those longer than it in pieces: pack_id, capacity_tokens, doc_id, piece, length."""
+    cut_ = _each(declared, counts, "doc_id").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full"))))
     return cut_.select("pack_id", "capacity_tokens", "doc_id", "piece", F.least(F.col("capacity_tokens"), F.col("tokens") - F.col("piece").cast("long") * F.col("capacity_tokens")).alias("length"))
 
 
 class Packing:
     def __init__(self, counts: DataFrame, capacities: DataFrame, rounds: int = 250) -> None:
-        self.pieces = cut(pieces(counts, capacities))
-        histogram = self.pieces.filter("length > 0").groupBy("pack_id", "capacity_tokens", "length").agg(F.count("*").alias("pieces"))
+        self.declared = _declared(capacities)
+        self.counts = cut(counts.filter("doc_id is not null"))
+        self.lengths = cut(self.counts.groupBy("tokens").agg(F.count("*").alias("texts")))  # one row for each length there is
+        each = _each(self.declared, self.lengths, "texts")
+        parts = F.array(F.struct(F.col("capacity_tokens").alias("length"), (F.col("full") * F.col("texts")).alias("n")), F.struct((F.col("tokens") - F.col("full") * F.col("capacity_tokens")).alias("length"), F.col("texts").alias("n")))
+        histogram = each.select("pack_id", "capacity_tokens", F.explode(parts).alias("x")).filter("x.length > 0 and x.n > 0").groupBy("pack_id", "capacity_tokens", F.col("x.length").alias("length")).agg(F.sum("x.n").alias("pieces"))
         schema = "pack_id long, length long, from_rank long, each long, first_pack long, made long, lower_bound long"
         self.plan = cut(histogram.groupBy("pack_id").applyInPandas(_solve(rounds), schema))
 
     def packs(self) -> DataFrame:
         """pack_id, pack_no, doc_id, piece, length: where each text, or each piece of one that is too long, goes."""
-        sized = ranked(self.pieces.filter("length > 0").drop("capacity_tokens"), ["pack_id", "length"], ["doc_id", "piece"])
+        every = pieces(self.counts, self.declared).drop("capacity_tokens")
+        sized = ranked(every.filter("length > 0"), ["pack_id", "length"], ["doc_id", "piece"])
         rows = self.plan.orderBy("pack_id", "length", "from_rank").select("pack_id", "length", "from_rank", "each", "first_pack").toPandas()  # its size depends on the capacities only
         groups = rows.groupby(["pack_id", "length"], sort=True).indices
         own = {k: rows.iloc[i][["from_rank", "each", "first_pack"]].to_numpy(np.int64) for k, i in groups.items()}
@@ -192,10 +205,21 @@ class Packing:
             return pd.Series(out)
 
         placed = sized.select("pack_id", pack_no("pack_id", "length", "rank").alias("pack_no"), "doc_id", "piece", "length")
-        return placed.unionByName(self.pieces.filter("length = 0").select("pack_id", F.lit(1).cast("long").alias("pack_no"), "doc_id", "piece", "length"))
+        return placed.unionByName(every.filter("length = 0").select("pack_id", F.lit(1).cast("long").alias("pack_no"), "doc_id", "piece", "length"))
 
     def fill(self) -> DataFrame:
         """Packs, tokens, share of room used and the lower bound on the number of packs, by capacity."""
         made = self.plan.select("pack_id", "first_pack", "made", "lower_bound").distinct().groupBy("pack_id").agg(F.sum("made").alias("packs"), F.max("lower_bound").alias("lower_bound"))
-        tokens = self.pieces.groupBy("pack_id", "capacity_tokens").agg(F.sum("length").alias("tokens"))
+        tokens = _each(self.declared, self.lengths, "texts").groupBy("pack_id", "capacity_tokens").agg(F.sum(F.col("tokens") * F.col("texts")).alias("tokens"))
         return tokens.join(made, "pack_id").withColumn("used", F.col("tokens") / (F.col("packs") * F.col("capacity_tokens")))
+
+    def checks(self) -> DataFrame:
+        """What holds of a packing, by capacity: texts placed, packs over capacity, texts split without need, tokens lost, and whether no more than one pack in a hundred is beyond the lower bound."""
+        packs = self.packs()
+        loads = packs.groupBy("pack_id", "pack_no").agg(F.sum("length").alias("load"))
+        capacity = F.coalesce(*[F.when(F.col("pack_id") == p, F.lit(c)) for p, c in self.declared])
+        over = loads.groupBy("pack_id").agg(F.count_if(F.col("load") > capacity).alias("over_capacity"))
+        texts = packs.groupBy("pack_id", "doc_id").agg(F.count("*").alias("n"), F.sum("length").alias("placed")).join(self.counts, "doc_id", "full")
+        told = texts.groupBy("pack_id").agg(F.count("n").alias("documents"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= capacity)).alias("split_needlessly"), F.sum(F.abs(F.col("tokens") - F.coalesce("placed", F.lit(0)))).alias("tokens_lost"))
+        near = self.fill().select("pack_id", (F.col("packs") * 100 <= F.col("lower_bound") * 101 + 100).alias("near_bound"))
+        return told.join(over, "pack_id").join(near, "pack_id").select("pack_id", "documents", "over_capacity", "split_needlessly", "tokens_lost", "near_bound")
