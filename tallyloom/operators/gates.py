@@ -70,6 +70,12 @@ class Metrics:
         if self.n < MIN_OPS or (self.n_residual is not None and self.n_residual < MIN_OPS):
             raise ValueError(f"a sample has at least {MIN_OPS}")
 
+    def derived(self, th: Thresholds) -> dict[str, Decimal | None]:
+        """d, the share decided rightly; f, what is left to scoring; e, what both reach together; q, how much of what scoring could find it does, where it can find enough."""
+        d = self.d_cov * self.d_acc
+        known = self.r is not None
+        return {"d": d, "f": 1 - d, "e": d + (1 - d) * self.t if known else None, "q": self.t / self.r if known and self.r >= th.r_min else None}
+
 
 @dataclass(frozen=True)
 class _Point:

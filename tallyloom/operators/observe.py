@@ -38,10 +38,23 @@ class EvidenceRule:
     silent_days: int = 2
     max_capture_failure: Decimal = Decimal("0.01")
 
+    def __post_init__(self) -> None:
+        if self.silent_days < 0 or not 0 <= self.max_capture_failure <= 1:
+            raise ValueError("an evidence rule needs days from 0 and a share between 0 and 1")
+
     def rule_id(self) -> str:
         return digest_text("evidence", str(self.silent_days), str(self.max_capture_failure))
 
 
+def capture_day(df: DataFrame, name: str) -> Column:
+    """The day of a capture in UTC; a column of times without a zone is refused, and so is a row without a time."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind != "timestamp":
+        raise ValueError(f"{name} is {kind}: captures need times with a zone")
+    at = F.when(F.col(name).isNull(), F.raise_error(F.lit("a capture has no time")).cast("timestamp")).otherwise(F.col(name))
+    return F.date_from_unix_date(F.floor(F.unix_seconds(at) / 86_400).cast("int"))
+
+
 def series(decisions: DataFrame, origins: DataFrame) -> DataFrame:
     """Final decisions in effect (side, id, status, reason, input_ids, forced) counted with their records' origins (side, id, source, day)."""
     final = decisions.filter("status = 'FINAL'")

@@ -276,6 +276,21 @@ def join_score(links: DataFrame, seen: DataFrame, ends: DataFrame) -> DataFrame:
     return out.withColumn("wrong", F.col("links") - F.col("correct"))
 
 
+def timing_score(decided: DataFrame, sizes: DataFrame, rate_per_s: float, window_us: int, most_density: float = 1.0) -> DataFrame:
+    """One row: what a timed join's upper side came to, and the sizes of its components.
+
+    ``decided``: side, status, right (whether a partner is the true one); ``sizes``: size, one row for each component.
+    ``density`` is how many requests fall into a window at this rate; over ``most_density`` the join isn't feasible.
+    """
+    up = decided.filter("side = 'outbound'")
+    names = ("AMBIGUOUS", "UNMATCHED", "OVERSIZED", "NO_CANDIDATE", "DENSE")
+    told = up.agg(F.count_if(F.col("status") == "MATCHED").alias("links"), F.count_if((F.col("status") == "MATCHED") & F.col("right")).alias("correct"), *[F.count_if(F.col("status") == n).alias(n.lower()) for n in names])
+    held = order_statistics(sizes, [], "size", {"component_p50": ("half", "0.5"), "component_p99": ("floor", "0.99"), "component_max": ("floor", "1")}).drop("n")
+    density = rate_per_s * 2 * window_us / 1e6
+    out = told.join(F.broadcast(held), F.lit(True), "left").na.fill(0)  # one row joins one
+    return out.withColumn("wrong", F.col("links") - F.col("correct")).withColumns({"density": F.lit(round(density, 3)), "feasible": F.lit(density <= most_density)})
+
+
 def replay_score(finals: DataFrame, truth: DataFrame) -> DataFrame:
     """By place, what final decisions (place, source, seq, kind, partners) are worth: ``truth`` has source, seq and the id of what they saw."""
     own = finals.join(truth.withColumnRenamed("truth", "_own"), ["source", "seq"], "left")

@@ -125,8 +125,9 @@ def undecided_jump(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _origins(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "recon_records").withColumn("day", F.to_date("captured_at"))
-    return own.filter("captured_at is not null").groupBy("side", "id").agg(F.min(F.struct("day", "adapter_version")).alias("o")).select("side", "id", F.col("o.adapter_version").alias("source"), F.col("o.day").alias("day"))
+    own = table(spark, d, "recon_records").filter("captured_at is not null")
+    own = own.withColumn("day", observe.capture_day(own, "captured_at"))
+    return own.groupBy("side", "id").agg(F.min(F.struct("day", "adapter_version")).alias("o")).select("side", "id", F.col("o.adapter_version").alias("source"), F.col("o.day").alias("day"))
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -252,9 +253,9 @@ _FAILURES = f"""f AS (SELECT side, adapter_version AS source, CAST(captured_at A
   cf AS (SELECT side, source, day, failed, total FROM b WHERE total >= 5 AND {_wilson("failed", "total", "-", "1.96")} > 0.01)"""
 _BOTH = f"(SELECT 'left' AS side, id, value_date FROM ({LEDGER}) UNION ALL SELECT 'right', id, value_date FROM ({FEED}))"
 _POSITIONS = f"""WITH k AS (SELECT side, id, value_date, CAST(CAST(substr(id, 2) AS DOUBLE) * 10 AS BIGINT) AS n FROM {_BOTH}),
-  j AS (SELECT side, id, date_diff('day', DATE '1970-01-01', value_date) * {DAY_POSITIONS} + n * 10 + CASE side WHEN 'left' THEN 0 ELSE 1 END AS pos, CASE WHEN n % 500 = 0 THEN 2 ELSE 1 END AS deliveries FROM k),
+  j AS (SELECT side, id, date_diff('day', DATE '1970-01-01', value_date) * {DAY_POSITIONS} + n * 10 + CASE side WHEN 'left' THEN 0 ELSE 1 END AS pos, CASE WHEN n % 500 = 0 THEN 2::BIGINT ELSE 1::BIGINT END AS deliveries FROM k),
   m AS (SELECT DISTINCT last_day(value_date) AS last_ FROM k UNION ALL SELECT max(last_day(value_date)) + 1 FROM k),
-  e AS (SELECT pos, 'arrival' AS kind, side, id, deliveries FROM j UNION ALL SELECT date_diff('day', DATE '1970-01-01', last_) * {DAY_POSITIONS} + {DAY_POSITIONS} - 10 + x, 'progress', CASE x WHEN 0 THEN 'left' ELSE 'right' END, NULL, 1 FROM m, (SELECT unnest([0, 1]) AS x))
+  e AS (SELECT pos, 'arrival' AS kind, side, id, deliveries FROM j UNION ALL SELECT date_diff('day', DATE '1970-01-01', last_) * {DAY_POSITIONS} + {DAY_POSITIONS} - 10 + x, 'progress', CASE x WHEN 0 THEN 'left' ELSE 'right' END, NULL, 1::BIGINT FROM m, (SELECT unnest([0, 1]) AS x))
   SELECT row_number() OVER (ORDER BY pos) - 1 AS position, kind, side, id, deliveries FROM e"""
 _STATE = (
     _RUN
@@ -272,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "ordinal_join": f"""WITH a AS (SELECT cell, conn_key, stream_id, min(trace_id) AS e, count(*) AS n FROM load_gen_rows WHERE side = 'load-gen' AND {_TRACED} GROUP BY ALL),
           b AS (SELECT cell, conn_key, stream_id, min(trace_id) AS g, count(*) AS m FROM load_gen_rows WHERE side = 'fake-upstream' AND {_TRACED} GROUP BY ALL)
           SELECT cell, CASE WHEN n > 1 OR coalesce(m, 0) > 1 THEN 'ambiguous' WHEN m IS NULL THEN 'missing' WHEN e = g THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n FROM a LEFT JOIN b USING (cell, conn_key, stream_id) GROUP BY ALL""",
-        "shuffled_control": f"SELECT count(DISTINCT trace_id) AS n, 0 AS lost, true AS unlinked FROM load_gen_rows WHERE side = 'load-gen' AND {_TRACED}",
+        "shuffled_control": f"SELECT count(DISTINCT trace_id) AS n, 0::BIGINT AS lost, true AS unlinked FROM load_gen_rows WHERE side = 'load-gen' AND {_TRACED}",
         "self_authored_rate": f"""SELECT u.cell, count(*) AS n, count(*) FILTER (k.trace_id IS NULL) AS hits, count(*) FILTER (k.trace_id IS NULL)::DOUBLE / count(*) AS rate
           FROM (SELECT * FROM load_gen_rows WHERE side = 'fake-upstream' AND {_TRACED}) u LEFT JOIN (SELECT DISTINCT cell, trace_id FROM load_gen_rows WHERE side = 'load-gen' AND {_TRACED}) k ON u.cell = k.cell AND u.trace_id = k.trace_id GROUP BY u.cell""",
         "delay_quantiles": """WITH v AS (SELECT cell, list_sort(list(CAST(floor((timestamp_ns - arrival_ns) / 1000) AS BIGINT))) AS x, count(*) AS n FROM load_gen_rows WHERE side = 'fake-upstream' AND arrival_ns IS NOT NULL AND timestamp_ns IS NOT NULL GROUP BY cell)
@@ -299,7 +300,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT n, x[(n * 95 + 99) // 100] AS p95, x[(n * 99 + 99) // 100] AS p99, CASE WHEN n < 100 THEN 'TOO_FEW' WHEN negative > 0 THEN 'NEGATIVE' WHEN x[(n * 95 + 99) // 100] <= 1 AND x[(n * 99 + 99) // 100] <= 2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM y""",
         "journal_positions": _POSITIONS,
         "effective_state": _STATE,
-        "superseded_chain": f"SELECT side, id, true AS whole, 1 AS in_effect, 1 AS final FROM {_BOTH}",
+        "superseded_chain": f"SELECT side, id, true AS whole, 1::BIGINT AS in_effect, 1::BIGINT AS final FROM {_BOTH}",
         "stability_spreads": """WITH r AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'fixed' ELSE 'variable' END AS seed, event_id % 5 AS rep, count(*) AS ops, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_id % 2 = 0) AS b FROM events GROUP BY ALL),
           m AS (SELECT seed, 'a' AS metric, round(a::DOUBLE / ops, 4) AS v, ops FROM r UNION ALL SELECT seed, 'b', round(b::DOUBLE / ops, 4), ops FROM r),
           s AS (SELECT seed, metric, count(*) AS n, stddev_samp(v) AS sd, min(ops) AS ops FROM m GROUP BY ALL) SELECT seed, min(n) AS reps, max(n) AS most_reps, min(ops) AS ops, bool_or(sd > 0.015) AS wide FROM s GROUP BY seed""",

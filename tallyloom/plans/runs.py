@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import runs
+from tallyloom.plans.correlation import _DECIDED
 from tallyloom.plans.inputs import SPANS, make
 
 # Requests sent, and what the receiver logged: some unlabelled, some with another or no id.
@@ -125,6 +126,17 @@ def join_scores(spark: SparkSession, d: str) -> DataFrame:
     return runs.join_score(links, seen, ends)
 
 
+def timing_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The timed links of spans, whose two ends have one number."""
+    from tallyloom.operators import timing
+    from tallyloom.plans import correlation
+
+    decided = correlation.timing_links(spark, d).select("side", "status", (F.col("seq") == F.col("partner_seq")).alias("right"))
+    found = correlation.timing_candidates(spark, d).select(F.concat(F.lit("u"), F.col("up_seq").cast("string")).alias("a"), F.concat(F.lit("d"), F.col("down_seq").cast("string")).alias("b"))
+    sizes = timing.components(found, "a", "b").groupBy("component").agg(F.count("*").alias("size")).select("size")
+    return runs.timing_score(decided, sizes, 1_000.0, correlation.PARAMS.signals[0].window_us)
+
+
 def replay_scores(spark: SparkSession, d: str) -> DataFrame:
     """Final decisions scored by the point at which each message was seen."""
     finals = make(spark, d, "SELECT hop AS place, source, seq, kind, partners FROM flow_decisions WHERE status = 'FINAL'")
@@ -165,7 +177,7 @@ def missing_positions(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     own = (
         run_validity, wire_received, adjacent_points, arrival_answer_delays, interval_containment, calibration_statistics, calibration_choice, time_trust, request_rate, order_statistics, time_duration_candidates,
-        correlator_scores, join_scores, replay_scores, span_places, selected_spans, header_traces, core_saturation, process_load, missing_positions,
+        correlator_scores, join_scores, timing_scores, replay_scores, span_places, selected_spans, header_traces, core_saturation, process_load, missing_positions,
     )
     return {f.__name__: f for f in own}
 
@@ -235,12 +247,17 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS na, count(*) OVER (PARTITION BY b) AS nb FROM c), dec AS (SELECT a, max(CASE WHEN na = 1 AND nb = 1 THEN b END) AS told FROM g GROUP BY a),
           tr AS (SELECT l.id AS a, min(r.id) AS b FROM l JOIN r ON string_split(l.id, '/')[-1] = string_split(r.id, '/')[-1] GROUP BY l.id), e AS (SELECT DISTINCT id AS a FROM l),
           x AS (SELECT e.a, tr.b, dec.a IS NOT NULL AS any_, dec.told, EXISTS (FROM c WHERE c.a = e.a AND c.b = tr.b) AS rec FROM e LEFT JOIN tr ON e.a = tr.a LEFT JOIN dec ON e.a = dec.a)
-          SELECT count(*) AS total, count(*) FILTER (rec) AS recalled, count(*) FILTER (told = b) AS correct, count(*) FILTER (told IS NOT NULL AND told IS DISTINCT FROM b) AS wrong, count(*) FILTER (any_ AND told IS NULL) AS ambiguous, 0 AS oversized, count(*) FILTER (NOT any_) AS no_candidate,
+          SELECT count(*) AS total, count(*) FILTER (rec) AS recalled, count(*) FILTER (told = b) AS correct, count(*) FILTER (told IS NOT NULL AND told IS DISTINCT FROM b) AS wrong, count(*) FILTER (any_ AND told IS NULL) AS ambiguous, 0::BIGINT AS oversized, count(*) FILTER (NOT any_) AS no_candidate,
             count(*) FILTER (rec)::DOUBLE / count(*) AS r, count(*) FILTER (told = b)::DOUBLE / count(*) AS t FROM x""",
         "join_scores": f"""WITH g AS (SELECT point AS place, trace, count(*) FILTER (side = 'outbound') AS u, count(*) FILTER (side = 'inbound') AS d, min(seq) FILTER (side = 'outbound') AS us, min(seq) FILTER (side = 'inbound') AS ds FROM ({SPANS}) WHERE trace IS NOT NULL GROUP BY ALL),
           l AS (SELECT place, us, ds FROM g WHERE u = 1 AND d = 1), s AS (SELECT point AS place, side, seq, max(conn IS NOT NULL) AS k FROM ({SPANS}) GROUP BY ALL),
           b AS (SELECT x.place, x.seq, x.k AND y.k AS k, EXISTS (FROM l WHERE l.place = x.place AND us = x.seq AND ds = x.seq) AS ok FROM s x JOIN s y ON x.place = y.place AND x.seq = y.seq AND x.side = 'outbound' AND y.side = 'inbound')
           SELECT *, links - correct AS wrong FROM (SELECT place, count(*) AS both_seen, count(*) FILTER (NOT k) AS keyless, count(*) FILTER (k AND NOT ok) AS lost FROM b GROUP BY place) JOIN (SELECT place, count(*) AS links, count(*) FILTER (us = ds) AS correct FROM l GROUP BY place) USING (place)""",
+        "timing_scores": _DECIDED
+        + """, n AS (SELECT count(*) FILTER (n = 1) AS two, count(*) FILTER (n = 2) // 2 AS three FROM e)
+          SELECT *, links - correct AS wrong, 0.04::DOUBLE AS density, true AS feasible FROM (SELECT count(*) FILTER (status = 'MATCHED') AS links, count(*) FILTER (status = 'MATCHED' AND seq = p.q) AS correct, count(*) FILTER (status = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (status = 'UNMATCHED') AS unmatched, 0::BIGINT AS oversized,
+            count(*) FILTER (status = 'NO_CANDIDATE') AS no_candidate, count(*) FILTER (status = 'DENSE') AS dense FROM f WHERE side = 'outbound'),
+          (SELECT CASE WHEN (two + three) // 2 < two THEN 2::BIGINT ELSE 3 END AS component_p50, CASE WHEN (two + three) * 99 // 100 < two THEN 2::BIGINT ELSE 3 END AS component_p99, CASE WHEN three > 0 THEN 3::BIGINT ELSE 2 END AS component_max FROM n)""",
         "replay_scores": """WITH t AS (SELECT source, seq, min(lower(trim(point))) AS truth FROM timed_obs GROUP BY ALL),
           f AS (SELECT d.hop AS place, d.kind = 'LINKED' AS linked, a.truth AS x, b.truth AS y FROM (SELECT *, partners[1] AS p FROM flow_decisions WHERE status = 'FINAL') d LEFT JOIN t a ON a.source = d.source AND a.seq = d.seq LEFT JOIN t b ON b.source = d.p.source AND b.seq = d.p.seq)
           SELECT place, count(*) AS decisions, count(*) FILTER (linked) AS linked, count(*) FILTER (linked AND x = y) AS correct, count(*) FILTER (linked AND x IS DISTINCT FROM y) AS wrong, count(*) FILTER (NOT linked) AS undecided FROM f GROUP BY place""",

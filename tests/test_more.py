@@ -1,5 +1,6 @@
 """Links, timing, topology, gates, sources, store and streams."""
 
+import functools
 import itertools
 import random
 from datetime import datetime, timedelta, timezone
@@ -9,10 +10,11 @@ import numpy as np
 import pytest
 
 from tallyloom.functions.durations import duration_ns
-from tallyloom.operators import analyses, flow, gates, links, replay, runs, timing, topology
+from tallyloom.operators import analyses, flow, gates, links, observe, replay, runs, timing, topology
 from tallyloom.operators.matching import Tolerance
 from tallyloom.operators.redelivery import DeliveryStore
 from tallyloom.plans.correlation import TOPOLOGY
+from tallyloom.session import cut
 from tallyloom.sources import logs, reports, statements, synthetic
 from tallyloom.sources.store import Store
 from tallyloom.streaming import live
@@ -385,35 +387,32 @@ def test_made_traffic(spark):
     assert pairs.count() == 500 and pairs.filter("abs(t - u) > 2000").count() == 0 and pairs.filter("t <> u").count() > 400
 
 
-@pytest.mark.parametrize("fault", ["none", "reuse", "swap", "swap_inside", "loss", "late", "duplicates", "keyless"])
-def test_flow_on_journals_with_faults(spark, fault):
+def test_flow_on_journals_with_faults(spark):
     """What each fault does to the final links, beside a journal without any."""
-    faults = synthetic.Faults(**({} if fault == "none" else {fault: 0.2}), disorder_us=300)
-    journal, config = synthetic.journal(spark, 60, 1, faults, 11)
-    journal = journal.cache()
+    names = ["none", "reuse", "swap", "swap_inside", "loss", "late", "duplicates", "keyless"]
+    parts, configs = [], []
+    for name in names:
+        made = synthetic.journal(spark, 60, 1, synthetic.Faults(**({} if name == "none" else {name: 0.2}), disorder_us=300), 11)
+        parts.append(made[0].withColumn("flow_id", F.lit(name)))
+        configs.append(made[1].withColumn("flow_id", F.lit(name)))
+    journal, config = (cut(functools.reduce(lambda a, b: a.unionByName(b), x)) for x in (parts, configs))
     marks = flow.timeline(journal, config)
     seen = journal.filter("kind = 'seen'").groupBy("flow_id", "source", "seq").agg(F.min_by(F.struct("pos", "point", "side", "keys", "time", "exchange", "fault"), "pos").alias("f")).select("flow_id", "source", "seq", "f.*")
-    out = flow.in_effect(flow.replay(seen.drop("exchange", "fault"), marks, config, synthetic.hops_of(spark, 1)))
-    truth = {(r.source, r.seq): (r.exchange, r.fault) for r in seen.collect()}
-    rows = out.collect()
-    assert {r.status for r in rows} == {"FINAL"}
-    linked = [r for r in rows if r.kind == "LINKED"]
-    kinds = {r.kind for r in rows}
-    wrong = [r for r in linked if truth[r.source, r.seq][0] != truth[r.partners[0].source, r.partners[0].seq][0]]
-    assert (fault in ("none", "duplicates", "swap_inside", "keyless")) == (kinds == {"LINKED"} and not wrong)
-    if fault in ("none", "duplicates"):
-        assert len(rows) == 240 and {r.corroboration for r in rows} == {"CORROBORATED"}
-        assert (journal.filter("fault = 'duplicate'").count() > 10) == (fault == "duplicates")
-    if fault in ("reuse", "swap"):
-        assert kinds & {"COLLIDED", "CONFLICTED"} and not wrong  # the connection contradicts the id
-    if fault == "swap_inside":  # both ends of the hop behind the relay carry the other id: nothing tells, and the hop itself is right
-        assert not wrong and journal.filter("fault = 'swap_inside'").count() > 0
-    if fault == "loss":
-        assert kinds == {"LINKED", "UNLINKED"} and not wrong
-    if fault == "late":
-        assert {(r.source, r.seq) for r in rows if r.kind == "LATE"} == {k for k, v in truth.items() if v[1] == "late"} and not wrong
-    if fault == "keyless":
-        assert {r.corroboration for r in linked} == {"CORROBORATED", "SIGNAL_ABSENT"} and not wrong
+    out = flow.in_effect(flow.replay(seen.drop("exchange", "fault"), marks, config, synthetic.hops_of(spark, 1))).collect()
+    truth = {(r.flow_id, r.source, r.seq): (r.exchange, r.fault) for r in seen.collect()}
+    faults = {(r.flow_id, r.fault): r["count"] for r in journal.groupBy("flow_id", "fault").count().collect()}
+    assert {r.status for r in out} == {"FINAL"}
+    kinds = {n: {r.kind for r in out if r.flow_id == n} for n in names}
+    said = {n: {r.corroboration for r in out if r.flow_id == n and r.kind == "LINKED"} for n in names}
+    assert all(truth[r.flow_id, r.source, r.seq][0] == truth[r.flow_id, r.partners[0].source, r.partners[0].seq][0] for r in out if r.kind == "LINKED")
+    for n in ("none", "duplicates"):
+        assert kinds[n] == {"LINKED"} and said[n] == {"CORROBORATED"} and sum(r.flow_id == n for r in out) == 240
+    assert faults["duplicates", "duplicate"] > 10 and faults["swap_inside", "swap_inside"] > 0
+    assert kinds["reuse"] & {"COLLIDED", "CONFLICTED"} and kinds["swap"] & {"COLLIDED", "CONFLICTED"}  # the connection contradicts the id
+    assert kinds["swap_inside"] == {"LINKED"}  # both ends of the hop behind the relay carry the other id: nothing tells
+    assert kinds["loss"] == {"LINKED", "UNLINKED"}
+    assert {(r.source, r.seq) for r in out if r.flow_id == "late" and r.kind == "LATE"} == {k[1:] for k, v in truth.items() if v[1] == "late"} != set()
+    assert kinds["keyless"] == {"LINKED"} and said["keyless"] == {"CORROBORATED", "SIGNAL_ABSENT"}
 
 
 def test_reports_and_calibrations(spark, tmp_path):
@@ -440,6 +439,23 @@ def test_reports_and_calibrations(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/truth").count() == 4 and spark.read.json(f"file://{tmp_path}/report").count() == 2
 
 
+def test_derived_metrics_and_capture_days(spark):
+    th = gates.Thresholds(D("0.9"))
+    m = gates.Metrics(D("0.90"), D("0.99"), D("0.80"), D("0.40"), D("0.97"), D("0.00"), 10_000, 10_000)
+    assert m.derived(th) == {"d": D("0.8910"), "f": D("0.1090"), "e": D("0.8910") + D("0.1090") * D("0.40"), "q": D("0.5")}
+    assert gates.Metrics(D("0.90"), D("0.99"), D("0.70"), D("0.40"), D("0.97"), D("0.00"), 10_000, 10_000).derived(th)["q"] is None
+    for bad in ({"silent_days": -1}, {"max_capture_failure": D("1.5")}):
+        with pytest.raises(ValueError):
+            observe.EvidenceRule(**bad)
+    at = spark.createDataFrame([(datetime(2026, 1, 1, 23, 59, tzinfo=timezone.utc),)], "t timestamp")
+    assert at.select(observe.capture_day(at, "t").alias("d")).first().d == datetime(2026, 1, 1).date()
+    with pytest.raises(ValueError, match="zone"):
+        observe.capture_day(at.select(F.col("t").cast("timestamp_ntz").alias("t")), "t")
+    none = at.select(F.lit(None).cast("timestamp").alias("t"))
+    with pytest.raises(Exception, match="no time"):
+        none.select(observe.capture_day(none, "t")).collect()
+
+
 def test_truth_ids_headers_and_places(spark):
     t = "0123456789abcdef" * 2
     paths = {f"/truth-{t}": t, f"/x/truth-{t}/y": t, f"/truth-{t}?q": t, f"/truth-{t}0": None, "/truth-abc": None, "": None, None: None}
