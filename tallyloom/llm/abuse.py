@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ TERM_WEIGHT = 1.0
 UNKNOWN_KIND_WEIGHT = 3.0  # these are mostly of the languages that have few samples
 
 _LEET = str.maketrans("@4310$57", "aaeiosst")
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile(r"(?<!\S)[a-z]*+[^a-z\s]\S*+")  # a token with anything but plain letters in it
 _APART = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$][ \-_.*·]{1,2}){3,}[a-z0-9@$](?![a-z0-9])")
 _DRAWN = re.compile(r"([a-z])\1{2,}")
 _MASK = re.compile(r"(?<=[a-z0-9])[_*](?=[a-z0-9])")
@@ -65,13 +66,18 @@ def _letters(m: re.Match) -> str:
     return token.translate(_LEET) if any(c.isalpha() for c in token) else token
 
 
-def normal(sentence: str) -> str:
-    """A plain sentence as lower-case words, with disguises of letters undone."""
+@lru_cache(maxsize=50_000)
+def _normal(sentence: str) -> str:
     s = _APART.sub(_closed, sentence.casefold())
     s = _TOKEN.sub(_letters, _MASK.sub("#", s))
     return " ".join(_OTHER.sub(" ", _DRAWN.sub(r"\1", s)).split())
 
 
+def normal(sentence: str) -> str:
+    """A plain sentence as lower-case words, with disguises of letters undone. Short ones are remembered, as texts are quoted and posted again."""
+    return _normal(sentence) if len(sentence) <= LONG else _normal.__wrapped__(sentence)
+
+
 def sentences(text: str | None) -> list[str]:
     if not text:
         return []
@@ -227,10 +233,11 @@ def score(documents: DataFrame, chain: Chain, keep: list[str] = ()) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for low in range(0, len(pdf), 200):
-                part = pdf.iloc[low : low + 200]
+            for low in range(0, len(pdf), 500):
+                part = pdf.iloc[low : low + 500]
                 own = [sentences(t) for t in part["text"]]
-                p = shared.value.scores([s for x in own for s in x])
+                each = {s: i for i, s in enumerate(dict.fromkeys(s for x in own for s in x))}  # repeated ones are scored once
+                p = shared.value.scores(list(each))[[each[s] for x in own for s in x]]
                 counts = np.array([len(x) for x in own])
                 out = np.zeros((len(own), len(STAGES)))
                 some = counts > 0

@@ -58,6 +58,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return _packing(spark, d).fill()
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """That every text is placed once within capacities, split only where it must be, in next to as few packs as can be."""
+    return _packing(spark, d).checks()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").select("item_id", F.concat_ws(" ", "passage", "question").alias("text"))
     return leaks.Index(table(spark, d, "documents")).search(items)
@@ -76,7 +81,7 @@ MOST_SAMPLES = 3_000
 def _scored(spark: SparkSession, d: str, keep: list[str] = ()) -> DataFrame:
     samples = table(spark, d, "moderation_samples").filter("sample_text is not null and category is not null")
     samples = samples.select("sample_text", "category").orderBy(F.crc32(F.col("sample_text").cast("binary")), "sample_text", "category").limit(MOST_SAMPLES)
-    terms = table(spark, d, "abuse_terms").filter("term is not null and category is not null").select("term", "category").orderBy("term", "category").limit(MOST_SAMPLES)
+    terms = table(spark, d, "abuse_terms").filter("term is not null and category is not null").select("term", "category").orderBy(F.crc32(F.col("term").cast("binary")), "term", "category").limit(MOST_SAMPLES)
     chain = abuse.fit([tuple(r) for r in samples.collect()], [tuple(r) for r in terms.collect()], MOST_SAMPLES)
     return abuse.score(table(spark, d, "documents"), chain, keep)
 
@@ -96,7 +101,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found, p8_packs, p8_fill, p9_found, p9_questions, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p4_percentiles, p4_combined_days, p7_found, p8_packs, p8_fill, p8_checks, p9_found, p9_questions, p10_found, p10_scores, p10_rates)}
 
 
 _NEAREST = """
@@ -136,4 +141,5 @@ SELECT DISTINCT item_id, doc_id FROM i JOIN t ON q <> '' AND contains(' ' || t |
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p9_questions": _QUESTIONS, "p2_found": _NEAREST, "p4_percentiles": _PERCENTILES, "p4_combined_days": _PERCENTILES, "p7_found": _GROUPED}
+    checks = "SELECT pack_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS over_capacity, 0::BIGINT AS split_needlessly, 0::BIGINT AS tokens_lost, true AS near_bound FROM pack_sizes"
+    return {"p8_checks": checks, "p9_questions": _QUESTIONS, "p2_found": _NEAREST, "p4_percentiles": _PERCENTILES, "p4_combined_days": _PERCENTILES, "p7_found": _GROUPED}

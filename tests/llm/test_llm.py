@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -90,15 +91,15 @@ def _roots(pairs):
     return {x: root(x) for x in up}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_against_union_find(spark, seed):
+@pytest.mark.parametrize(("seed", "few"), [(1, 0), (2, 0), (1, 150), (2, 200_000)])
+def test_groups_against_union_find(spark, seed, few):
     rng = random.Random(seed)
     node = lambda: (rng.choice("ab"), rng.randrange(120))
     pairs = [(node(), node()) for _ in range(130)]
     pairs += [(("c", i), ("c", i + 1)) for i in range(150)] + [(("d", 0), ("d", i)) for i in range(80)] + pairs[:20] + [(b, a) for a, b in pairs[:20]]
     pairs += [(("e", 1), None), (None, ("e", 2)), (("e", 3), ("e", 3)), (("e", None), ("e", 4)), (None, None), ((None, 3), None)]
     rng.shuffle(pairs)
-    found = groups.labelled(spark.createDataFrame([(*p, "x", "y") for p in pairs], PAIR), ["source", "seq"], "a", "b").collect()
+    found = groups.labelled(spark.createDataFrame([(*p, "x", "y") for p in pairs], PAIR), ["source", "seq"], "a", "b", few).collect()
     assert {(r.source, r.seq): (r.group_source, r.group_seq) for r in found} == _roots(pairs) and len(found) == len(_roots(pairs))
 
 
@@ -233,6 +234,18 @@ def test_leaks_against_the_definition(spark):
     assert len(expected) > 30 and len(found & expected) >= 0.97 * len(expected) and len(found - expected) <= 3
 
 
+def test_whole_phrases_and_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PIECE_WORDS", 14)
+    monkeypatch.setattr(leaks, "LOT_ITEMS", 1)
+    w = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w[s : s + 12]) for s in range(0, 49, 7)] + ["你好世界", "say moi moi world", "moi world, moi", "你好 世界!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = leaks.Index(docs)
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "moi world"), (3, "世界"), (4, ""), (5, None), (6, "world moi moi"), (7, " ".join(w[7:19]))], "item_id long, text string")
+    assert {(r.item_id, r.doc_id) for r in index.search(items).collect()} == {(1, i) for i in range(7)} | {(7, 1)}
+    assert {(r.item_id, r.doc_id) for r in index.search(items, whole=True).collect()} == {(2, 8), (2, 9), (3, 7), (3, 10), (7, 1)}
+
+
 def test_words():
     assert words("It&#39;s <b>b</b>old, café “naïve” ＡＢ") == ["its", "bold", "cafe", "naive", "ab"]
     assert words(None) == [] and words("​") == []
@@ -249,14 +262,19 @@ def _samples():
     return list(zip(m.sample_text, m.category)), list(zip(t.term, t.category))
 
 
-def test_chain_on_held_out_samples():
+def test_chain_on_held_out_wordings():
+    """Whole wordings (equal first three words) are held out in turn. About half of the abuse in new wordings is found, as the README tells; harmless sentences aren't flagged."""
     samples, terms = _samples()
-    held = [s for i, s in enumerate(samples) if i % 4 == 0]
-    chain = abuse.fit([s for i, s in enumerate(samples) if i % 4], terms)
-    p = chain.scores([" ".join(abuse.sentences(t)) for t, _ in held])[:, -1]
-    bad = np.array([c != "none" for _, c in held])
-    assert (p[bad] >= abuse.THRESHOLD).mean() > 0.97 and (p[~bad] >= abuse.THRESHOLD).mean() < 0.03
-    assert (chain.chained != 0).sum() == 6  # every later model takes every earlier one
+    part = np.array([zlib.crc32(" ".join(t.split()[:3]).encode()) % 5 for t, _ in samples])
+    hits, flags, bad, good = 0, 0, 0, 0
+    for k in range(5):
+        chain = abuse.fit([s for s, x in zip(samples, part) if x != k], terms)
+        held = [s for s, x in zip(samples, part) if x == k]
+        told = chain.scores([" ".join(abuse.sentences(t)) for t, _ in held])[:, -1] >= abuse.THRESHOLD
+        wrong = np.array([c != "none" for _, c in held])
+        hits, bad, flags, good = hits + told[wrong].sum(), bad + wrong.sum(), flags + told[~wrong].sum(), good + (~wrong).sum()
+        assert (chain.chained != 0).sum() == 6  # every later model takes every earlier one
+    assert hits >= 0.45 * bad and flags <= 0.03 * good
 
 
 def test_scores_of_documents(spark):
