@@ -167,7 +167,7 @@ SELECT place, source, seq, CASE WHEN k1 IS NOT DISTINCT FROM 'COLLIDED' OR k2 IS
 """
 
 
-# Components of these observations are stars of at most two edges: the best edge is taken, and what deciding otherwise costs is its lead over the other.
+# Components of these observations are stars of at most two edges (one of the smallest table has three in a row, with the best at an end): the best edge is taken, and what deciding otherwise costs is its lead over the other.
 _DECIDED = f"""WITH {_CROWD}, o AS (SELECT side, source, seq, start_us, count(start_us) OVER (PARTITION BY side ORDER BY start_us RANGE BETWEEN 1500 PRECEDING AND 1500 FOLLOWING) - 1 AS others FROM s),
 e AS (SELECT *, greatest(count(*) OVER (PARTITION BY up_seq), count(*) OVER (PARTITION BY down_seq)) AS n,
   greatest(max(weight) OVER (PARTITION BY up_seq), max(weight) OVER (PARTITION BY down_seq)) AS best, least(min(weight) OVER (PARTITION BY up_seq), min(weight) OVER (PARTITION BY down_seq)) AS least_ FROM pairs),

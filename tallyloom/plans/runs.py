@@ -253,11 +253,13 @@ def oracle_sql() -> dict[str, str]:
           l AS (SELECT place, us, ds FROM g WHERE u = 1 AND d = 1), s AS (SELECT point AS place, side, seq, max(conn IS NOT NULL) AS k FROM ({SPANS}) GROUP BY ALL),
           b AS (SELECT x.place, x.seq, x.k AND y.k AS k, EXISTS (FROM l WHERE l.place = x.place AND us = x.seq AND ds = x.seq) AS ok FROM s x JOIN s y ON x.place = y.place AND x.seq = y.seq AND x.side = 'outbound' AND y.side = 'inbound')
           SELECT *, links - correct AS wrong FROM (SELECT place, count(*) AS both_seen, count(*) FILTER (NOT k) AS keyless, count(*) FILTER (k AND NOT ok) AS lost FROM b GROUP BY place) JOIN (SELECT place, count(*) AS links, count(*) FILTER (us = ds) AS correct FROM l GROUP BY place) USING (place)""",
-        "timing_scores": _DECIDED
-        + """, n AS (SELECT count(*) FILTER (n = 1) AS two, count(*) FILTER (n = 2) // 2 AS three FROM e)
+        "timing_scores": _DECIDED.replace("WITH ", "WITH RECURSIVE ", 1)
+        + """, g AS (SELECT DISTINCT concat('u', up_seq) AS a, concat('d', down_seq) AS b FROM pairs), both_ AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
+          reach AS (SELECT a, a AS b FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
+          sizes AS (SELECT list_sort(list(n)) AS x, count(*) AS n FROM (SELECT c, count(*) AS n FROM (SELECT a, min(b) AS c FROM reach GROUP BY a) GROUP BY c))
           SELECT *, links - correct AS wrong, 0.04::DOUBLE AS density, true AS feasible FROM (SELECT count(*) FILTER (status = 'MATCHED') AS links, count(*) FILTER (status = 'MATCHED' AND seq = p.q) AS correct, count(*) FILTER (status = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (status = 'UNMATCHED') AS unmatched, 0::BIGINT AS oversized,
             count(*) FILTER (status = 'NO_CANDIDATE') AS no_candidate, count(*) FILTER (status = 'DENSE') AS dense FROM f WHERE side = 'outbound'),
-          (SELECT CASE WHEN (two + three) // 2 < two THEN 2::BIGINT ELSE 3 END AS component_p50, CASE WHEN (two + three) * 99 // 100 < two THEN 2::BIGINT ELSE 3 END AS component_p99, CASE WHEN three > 0 THEN 3::BIGINT ELSE 2 END AS component_max FROM n)""",
+          (SELECT x[n // 2 + 1] AS component_p50, x[least(n, n * 99 // 100 + 1)] AS component_p99, x[n] AS component_max FROM sizes)""",
         "replay_scores": """WITH t AS (SELECT source, seq, min(lower(trim(point))) AS truth FROM timed_obs GROUP BY ALL),
           f AS (SELECT d.hop AS place, d.kind = 'LINKED' AS linked, a.truth AS x, b.truth AS y FROM (SELECT *, partners[1] AS p FROM flow_decisions WHERE status = 'FINAL') d LEFT JOIN t a ON a.source = d.source AND a.seq = d.seq LEFT JOIN t b ON b.source = d.p.source AND b.seq = d.p.seq)
           SELECT place, count(*) AS decisions, count(*) FILTER (linked) AS linked, count(*) FILTER (linked AND x = y) AS correct, count(*) FILTER (linked AND x IS DISTINCT FROM y) AS wrong, count(*) FILTER (NOT linked) AS undecided FROM f GROUP BY place""",
