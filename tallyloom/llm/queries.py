@@ -27,7 +27,7 @@ _GROUPS = ["cell", "conn_key", "day"]
 
 
 def _durations(spark: SparkSession, d: str, part=None) -> DataFrame:
-    day = F.date_from_unix_date(F.floor(F.col("timestamp_ns") / F.lit(_DAY_NS)).cast("int"))
+    day = F.date_from_unix_date(F.expr(f"timestamp_ns div {_DAY_NS} - int(timestamp_ns % {_DAY_NS} < 0)").cast("int"))  # in whole numbers: as doubles the last 128 ns of a day of 2024 round to the next
     return quantiles.summary(table(spark, d, "load_gen_rows"), {"cell": F.col("cell"), "conn_key": F.col("conn_key"), "day": day}, "duration_ns", part)
 
 

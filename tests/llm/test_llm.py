@@ -66,6 +66,16 @@ def test_percentiles_equal_sorting(spark):
     assert quantiles.percentiles(quantiles.summary(df.filter("false"), {"k": F.col("k")}, "v"), ["k"], at).count() == 0
 
 
+@pytest.mark.parametrize("query", [queries.p4_percentiles, queries.p4_combined_days])
+def test_percentiles_count_the_last_nanoseconds_of_a_day(spark, tmp_path, query):
+    day = 86_400_000_000_000
+    times = [d * day + rest for d in (0, 10_957, 20_000, 100_000) for rest in (-129, -128, -1, 0, 1)] + [-day - 1, -day, -(2**63), 2**63 - 1, None]
+    rows = [("c", "k", t, i, i % 2) for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "cell string, conn_key string, timestamp_ns long, duration_ns long, log_day int").write.parquet(f"{tmp_path}/load_gen_rows.parquet")
+    found = query(spark, str(tmp_path)).select(F.unix_date("day").alias("day"), "n").collect()
+    assert {r.day: r.n for r in found} == Counter(None if t is None else t // day for t in times)
+
+
 # -- groups -----------------------------------------------------------------------
 
 PAIR = "a struct<source:string,seq:long>, b struct<source:string,seq:long>, c string, p string"
